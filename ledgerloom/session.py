@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +58,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint df as broadcast if it is proven to have at most limit rows, else leave the join to the optimiser."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package once per application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_ledgerloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="ledgerloom-ship-")) / "ledgerloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._ledgerloom_shipped = True
+
+
+def materialise_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """As materialise, but bucketed by keys: later joins and aggregations on keys need no shuffle."""
+    spark = df.sparkSession
+    unique = f"{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).format("parquet")
+    writer.option("path", f"{shared_dir(spark)}/{unique}").saveAsTable(unique)
+    return spark.table(unique)
