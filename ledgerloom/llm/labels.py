@@ -208,6 +208,8 @@ def map_labels(candidates: DataFrame, reference: DataFrame) -> DataFrame:
     if len(entries) > MOST_ENTRIES:
         raise ValueError(f"the reference list has more than {MOST_ENTRIES} entries")
     ref = Reference(sorted(entries))
+    # Few bytes, but much work each: the number of tasks is fixed, so that adaptive execution doesn't merge them.
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = candidates.filter("field IS NULL AND raw_label IS NOT NULL").select("raw_label").distinct()
     parts = distinct.mapInPandas(_labels, "raw_label string, position int, token string")
 
@@ -219,11 +221,11 @@ def map_labels(candidates: DataFrame, reference: DataFrame) -> DataFrame:
     # Words of the vocabulary stand for themselves, so that frequent tokens need no join; the rest is repaired once per
     # distinct token and joined back.
     known = F.col("token").isin(sorted(ref.weight)) if ref.weight else F.lit(False)
-    repaired = parts.filter(~known).select("token").distinct().mapInPandas(repair, "token string, words array<struct<word:string,similarity:double>>")
+    repaired = parts.filter(~known).select("token").distinct().repartition(tasks, "token").mapInPandas(repair, "token string, words array<struct<word:string,similarity:double>>")
     own = F.array(F.struct(F.col("token").alias("word"), F.lit(1.0).alias("similarity")))
     exact = parts.filter(known).select("raw_label", "position", "token", own.alias("words"))
     mended = parts.filter(~known).join(repaired, "token").select("raw_label", "position", "token", "words")
-    joined = exact.unionByName(mended).groupBy("raw_label").agg(F.array_sort(F.collect_list(F.struct("position", "token", "words"))).alias("parts"))
+    joined = exact.unionByName(mended).repartition(tasks, "raw_label").groupBy("raw_label").agg(F.array_sort(F.collect_list(F.struct("position", "token", "words"))).alias("parts"))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
