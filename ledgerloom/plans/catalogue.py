@@ -1,12 +1,14 @@
-"""Queries of the evidence operators on the driver tables, each with equivalent SQL."""
+"""All queries of the evidence operators on the driver tables, each with equivalent SQL where there is one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from ledgerloom.plans import evidence_queries
+from ledgerloom.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (evidence_queries,)
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+for _module in _MODULES:
+    QUERIES |= _module.registry.queries
+    SQL |= _module.registry.sql
