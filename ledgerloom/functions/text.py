@@ -48,4 +48,4 @@ def contains_phrase(text: Column, phrase: Column) -> Column:
     """Whether a phrase occurs: an ASCII one at token boundaries, any other anywhere; an empty one never."""
     escaped = F.concat(F.lit(r"(?<![0-9a-z])\Q"), phrase, F.lit(r"\E(?![0-9a-z])"))
     ascii_only = ~phrase.rlike(r"[^\x00-\x7f]")
-    return (phrase != "") & F.contains(text, phrase) & (~ascii_only | F.regexp_like(text, escaped))
+    return (phrase != "") & text.contains(phrase) & (~ascii_only | F.regexp_like(text, escaped))
