@@ -160,7 +160,8 @@ def _compose(points: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray
 
 
 def _unmix(points: np.ndarray, row: np.ndarray, t: Tables) -> np.ndarray:
-    """Replace letters of another script inside a word: by Latin ones if all of them have one, else by the other script's."""
+    """Replace letters of another script inside a word: by Latin ones if all of them have one, else the Latin
+    letters by the other script's where that has most of the word."""
     script = t.script[points]
     if not (script > LATIN).any():
         return points
@@ -189,7 +190,7 @@ def _unmix(points: np.ndarray, row: np.ndarray, t: Tables) -> np.ndarray:
     out[change] = to_latin[change]
     for other, alone in ((CYRILLIC, greek == 0), (GREEK, cyrillic == 0)):
         table = t.to_other[other][points]
-        rest = mixed & ~all_latin & alone & (per_word((script == LATIN) & (table > 0)) == latin)
+        rest = mixed & ~all_latin & alone & (foreign > latin) & (per_word((script == LATIN) & (table > 0)) == latin)
         change = np.zeros(len(points), dtype=bool)
         change[member] = rest[ids]
         change &= (script == LATIN) & (table > 0)

@@ -62,7 +62,7 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 # Characters that scanners and typists confuse within words.
-CONFUSED = str.maketrans("015$", "olss")
+CONFUSED = str.maketrans("0135$", "oless")
 
 
 def unconfused(token: str) -> str:
@@ -193,7 +193,8 @@ class Reference:
 def _labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [(label, i, t) for label in b["raw_label"] for i, t in enumerate(tokens(label))]
-        yield pd.DataFrame(rows, columns=["raw_label", "position", "token"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["raw_label", "position", "token"])
 
 
 def map_labels(candidates: DataFrame, reference: DataFrame) -> DataFrame:

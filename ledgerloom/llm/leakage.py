@@ -225,7 +225,8 @@ def scan_leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFr
                 found, spans, matched, letters = scanner.scan(text)
                 if found:
                     out.append((doc_id, text, found, [{"begin": s, "end": e} for s, e in spans], matched, letters))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "items", "spans", "matched", "letters"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "text", "items", "spans", "matched", "letters"])
 
     return documents.select("doc_id", "text").filter("text IS NOT NULL").mapInPandas(scan, SCAN_SCHEMA)
 
