@@ -19,7 +19,7 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     Confidence is the mean of the words' percents over 100, rounded half-even to 6 digits. A missing column or a word
     that occurs twice is an error.
     """
-    raw = spark.read.csv(path, sep="\t", header=True, quote='"', inferSchema=False)
+    raw = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', inferSchema=False)
     names = [c.lstrip("﻿") for c in raw.columns]
     if missing := set(WORD_COLUMNS) - set(names):
         raise ValueError(f"columns missing: {sorted(missing)}")
