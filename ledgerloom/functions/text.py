@@ -14,7 +14,7 @@ TOKEN = "[0-9a-z가-힣]+"
 
 def squeeze_upper(text: Column) -> Column:
     """White space squeezed and trimmed, upper case, blank as null."""
-    return F.nullif(F.upper(F.trim(F.regexp_replace(text, "[ ]+", " "))), F.lit(""))
+    return F.nullif(F.upper(F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))), F.lit(""))
 
 
 def search_form(text: Column) -> Column:

@@ -234,7 +234,7 @@ def unit_convert(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter(tonnes.isNotNull()).select("cand_id", change.alias("transformation"), tonnes.cast("double").alias("tonnes")).distinct()
 
 
-@query(r"""SELECT DISTINCT cand_id, nullif(upper(trim(regexp_replace(raw_value, '[ ]+', ' ', 'g'))), '') AS value FROM candidates
+@query(r"""SELECT DISTINCT cand_id, nullif(upper(trim(regexp_replace(raw_value, '[\s\p{Z}]+', ' ', 'g'))), '') AS value FROM candidates
 WHERE field = 'verification_reference' OR field LIKE '%\_installation\_id' ESCAPE '\'""")
 def blank_to_null(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "candidates").filter((F.col("field") == "verification_reference") | F.col("field").endswith("_installation_id"))
