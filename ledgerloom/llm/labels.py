@@ -24,7 +24,7 @@ from ledgerloom.functions.folding import fold
 DECORATION = frozenset("no nr final draft as stated value see note old 합계 확정 값 비고 참고 최종 재확인".split())
 #: Least similarity of a repaired token, least score of an entry, and least similarity of the letters of whole labels.
 TOKEN_SIMILARITY = 0.6
-ENTRY_SCORE = 0.48
+ENTRY_SCORE = 0.6
 WHOLE_SIMILARITY = 0.74
 #: Similarity of an abbreviation that is a prefix, or only a subsequence, of its word, or is so but for one character.
 PREFIX, SKIPPED, SLIPPED = 0.92, 0.86, 0.72
@@ -62,7 +62,8 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 # Characters that scanners and typists confuse within words.
-CONFUSED = str.maketrans("0135$", "oless")
+CONFUSED = str.maketrans("01358$", "olesbs")
+CONFUSED_PAIRS = (("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"))
 
 
 def unconfused(token: str) -> str:
@@ -126,19 +127,25 @@ class Reference:
                 self.holders.setdefault(w, []).append(k)
 
     def repair(self, token: str) -> list[tuple[str, float]]:
-        """Words of the vocabulary that a token may stand for, with similarities; tokens with digits must be exact."""
+        """Words of the vocabulary that a token may stand for, with similarities; tokens with digits must be exact, but
+        for a character typed twice."""
         if token in self.weight:
             return [(token, 1.0)]
         found: dict[str, float] = {}
+        if not token.isalpha():
+            single = re.sub(r"(.)\1+", r"\1", token)
+            found |= {w: 0.9 for w in (single, *(x for x in self.weight if re.sub(r"(.)\1+", r"\1", x) == single)) if w in self.weight}
         plain = unconfused(token)
-        if plain in self.weight:
-            found[plain] = 0.97
-        if plain.isalpha():
-            for word in self.weight:
-                if word.isalpha():
-                    s = max(similarity(plain, word), abbreviates(plain, word))
-                    if s:
-                        found[word] = max(s, found.get(word, 0.0))
+        forms = {plain: 1.0} | {plain.replace(a, b): 0.97 for a, b in CONFUSED_PAIRS if a in plain}
+        for form, share in forms.items():
+            if form in self.weight:
+                found[form] = max(0.97, found.get(form, 0.0))
+            if form.isalpha():
+                for word in self.weight:
+                    if word.isalpha():
+                        s = share * max(similarity(form, word), abbreviates(form, word))
+                        if s:
+                            found[word] = max(s, found.get(word, 0.0))
         return sorted(found.items(), key=lambda x: (-x[1], x[0]))
 
     def rank(self, parts: list[tuple[str, list[tuple[str, float]]]]) -> list[tuple[float, int]]:
@@ -146,14 +153,15 @@ class Reference:
         weighing = [(t, dict(m)) for t, m in parts if m or not t.isdigit()]
         if not weighing:
             return []
-        kept = [t for t, _ in parts if t in self.weight or t not in DECORATION]
-        whole = letters("".join(t if t in self.weight else unconfused(t) for t in kept))
-        digits = [t for t, m in weighing if any(c.isdigit() for c in t) and t in self.weight]
-        candidates = {k for _, m in weighing for w in m for k in self.holders[w]} | self._close(whole)
+        spelt = [t if t in self.weight else unconfused(t) for t, _ in parts]
+        # Without decorations, and with those that the reference list uses as well.
+        wholes = {letters("".join(t for t in spelt if t not in DECORATION)), letters("".join(t for t in spelt if t in self.weight or t not in DECORATION))}
+        digits = [next(w for w in m if not w.isalpha()) for _, m in weighing if any(not w.isalpha() for w in m)]
+        candidates = {k for _, m in weighing for w in m for k in self.holders[w]} | {k for x in wholes for k in self._close(x)}
         scored = []
         for k in candidates:
             words = self.words[k]
-            if [w for w in words if any(c.isdigit() for c in w)] != digits and not self._joined(whole, k):
+            if [w for w in words if not w.isalpha()] != digits and not any(self._joined(x, k) for x in wholes):
                 continue
             free, dot, norm = list(words), 0.0, 0.0
             order = sorted(range(len(weighing)), key=lambda i: -max((weighing[i][1].get(w, 0.0) for w in words), default=0.0))
@@ -170,7 +178,7 @@ class Reference:
             score = dot / (self.norm[k] * math.sqrt(norm)) if norm else 0.0
             if free:  # an entry all of whose words are not there is not meant, unless the letters say so
                 score *= 0.7
-            scored.append((max(score, self._alike(whole, k)), k))
+            scored.append((max(score, *(self._alike(x, k) for x in wholes)), k))
         return sorted(scored, key=lambda x: (-x[0], x[1]))
 
     def _alike(self, whole: str, k: int) -> float:
