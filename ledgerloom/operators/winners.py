@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import small
+from ledgerloom.session import BROADCAST_ROWS, small
 
 
 def latest_delivery(df: DataFrame, key: str, delivered: str) -> DataFrame:
@@ -67,8 +67,12 @@ def conflicts(df: DataFrame, group: list[str], order: list[Column], value: str,
 
 def required_ledger(entities: DataFrame, required: DataFrame, present: DataFrame, entity: str, item: str) -> DataFrame:
     """entity, item, passed for every required item (a small list) of every entity."""
+    names = sorted(r[0] for r in required.select(item).dropna().distinct().limit(BROADCAST_ROWS + 1).collect())
+    if len(names) > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} required items")
     have = present.select(entity, item).distinct().withColumn("passed", F.lit(True))
-    return entities.select(entity).distinct().crossJoin(small(required.select(item).distinct())).join(have, [entity, item], "left").fillna(False, ["passed"])
+    needed = entities.select(entity).distinct().withColumn(item, F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
+    return needed.join(have, [entity, item], "left").fillna(False, ["passed"])
 
 
 def rederived(stored: DataFrame, group: list[str], order: list[Column], position: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import evidence_queries, raster_queries, relational_queries, retrieval_queries
+from ledgerloom.plans import contract_queries, evidence_queries, raster_queries, relational_queries, retrieval_queries
 from ledgerloom.plans.registry import Query
 
-_MODULES = (evidence_queries, retrieval_queries, raster_queries, relational_queries)
+_MODULES = (evidence_queries, retrieval_queries, raster_queries, relational_queries, contract_queries)
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
