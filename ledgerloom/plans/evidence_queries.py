@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numeric, text
-from ledgerloom.operators import evidence, winners
+from ledgerloom.operators import evidence, pipelines, winners
 from ledgerloom.plans.registry import Registry
 from ledgerloom.session import small, table
 
@@ -179,11 +179,14 @@ def alias_match(spark: SparkSession, d: str) -> DataFrame:
     return _matched(spark, d)
 
 
-@query(rf"""WITH {_MATCH_SQL}, rest AS (
+_VALUE_SQL = rf"""rest AS (
     SELECT doc_key, page, line, start + length(label) AS after, substr(text, CAST(start + length(label) + 1 AS BIGINT)) AS rest FROM matched WHERE label IS NOT NULL),
-v AS (SELECT *, rtrim(regexp_replace(rest, '^[ \t:：=|]+', ''), ' ') AS value, after + length(rest) - length(regexp_replace(rest, '^[ \t:：=|]+', '')) AS b FROM rest)
-SELECT doc_key, page, line, CASE WHEN lower(value) IN ('-', 'n/a', '[blank]', '공란', '') THEN '' ELSE value END AS value,
-       CAST(b AS INT) AS value_start, CAST(b + length(value) AS INT) AS value_end FROM v""")
+v AS (SELECT *, rtrim(regexp_replace(rest, '^[ \t:：=|]+', ''), ' ') AS value, after + length(rest) - length(regexp_replace(rest, '^[ \t:：=|]+', '')) AS b FROM rest)"""
+_SPAN_SQL = """SELECT doc_key, page, line, CASE WHEN lower(value) IN ('-', 'n/a', '[blank]', '공란', '') THEN '' ELSE value END AS value,
+       CAST(b AS INT) AS value_start, CAST(b + length(value) AS INT) AS value_end FROM v"""
+
+
+@query(f"WITH {_MATCH_SQL}, {_VALUE_SQL} {_SPAN_SQL}")
 def raw_value_span(spark: SparkSession, d: str) -> DataFrame:
     rows = _matched(spark, d).filter("label IS NOT NULL").join(_lines(spark, d).select("doc_key", "page", "line", "text"), ["doc_key", "page", "line"])
     value, start, end = evidence.raw_value(F.col("text"), F.col("start") + F.length("label"))
@@ -286,3 +289,22 @@ def field_scoring_full_outer(spark: SparkSession, d: str) -> DataFrame:
 SELECT tp, fp, fn, round_even(tp / nullif(tp + fp, 0), 6) AS precision, round_even(tp / nullif(tp + fn, 0), 6) AS recall, round_even(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""")
 def field_scoring_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evidence.score_summary(_outcomes(spark, d))
+
+
+def _extraction(spark: SparkSession, d: str) -> pipelines.Extraction:
+    documents = winners.latest_delivery(table(spark, d, "trade_case_documents"), "doc_key", "received_at")
+    return pipelines.extract(documents, table(spark, d, "field_labels"))
+
+
+@query(f"""WITH {_MATCH_SQL}, {_VALUE_SQL}, spans AS ({_SPAN_SQL})
+SELECT m.doc_key, m.page, m.line, m.field, m.label, nullif(s.value, '') AS value, CAST(m.start AS INT) AS alias_start, s.value_start, s.value_end, sha256(m.text) AS line_sha256
+FROM matched m JOIN spans s ON s.doc_key = m.doc_key AND s.page = m.page AND s.line = m.line""")
+def extract_records(spark: SparkSession, d: str) -> DataFrame:
+    return _extraction(spark, d).records.select(
+        "doc_key", "page", "line", "field", "label", "value", "source_span.alias_start", "source_span.value_start", "source_span.value_end", "line_sha256"
+    )
+
+
+@query(f"WITH {_MATCH_SQL} SELECT reason, count(*) AS lines FROM matched WHERE label IS NULL GROUP BY 1")
+def unmatched_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _extraction(spark, d).unmatched.groupBy("reason").agg(F.count("*").alias("lines"))

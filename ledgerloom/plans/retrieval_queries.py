@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import retrieval
+from ledgerloom.operators import pipelines, retrieval
 from ledgerloom.plans.registry import Registry
 from ledgerloom.session import small, table
 
@@ -102,15 +102,18 @@ def phrase_match(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.concept_hits(_asked(spark, d), _corpus(spark, d), "item_id", "asked").select("item_id", "id", "concepts")
 
 
-@query(f"""WITH {_ALIAS_SQL}, per AS (SELECT item_id, instrument, max(n) AS concepts FROM (SELECT item_id, id, instrument, count(DISTINCT concept) AS n FROM hit GROUP BY 1, 2, 3) x GROUP BY 1, 2),
+_GATE_SQL = f"""per AS (SELECT item_id, instrument, max(n) AS concepts FROM (SELECT item_id, id, instrument, count(DISTINCT concept) AS n FROM hit GROUP BY 1, 2, 3) x GROUP BY 1, 2),
 best AS (SELECT *, row_number() OVER w AS k, lead(concepts) OVER w AS next FROM per WINDOW w AS (PARTITION BY item_id ORDER BY concepts DESC, instrument)),
 ex AS (SELECT item_id, count(*) AS n FROM ask JOIN (SELECT DISTINCT lower(instrument) AS i FROM legal_corpus) z
-       ON contains(' ' || regexp_replace(asked, '[^0-9a-z]+', ' ', 'g') || ' ', ' ' || i || ' ') GROUP BY 1)
-SELECT ask.item_id, CAST(coalesce(ex.n, 0) AS BIGINT) AS instruments, CAST(coalesce(b.concepts, 0) AS BIGINT) AS concepts,
+       ON contains(' ' || regexp_replace(asked, '[^0-9a-z]+', ' ', 'g') || ' ', ' ' || i || ' ') GROUP BY 1),
+gated AS (SELECT ask.item_id, CAST(coalesce(ex.n, 0) AS BIGINT) AS instruments, CAST(coalesce(b.concepts, 0) AS BIGINT) AS concepts,
     CASE WHEN coalesce(ex.n, 0) > 1 THEN 'ambiguous_instrument' WHEN coalesce(ex.n, 0) = 0 AND coalesce(b.concepts, 0) = 0 THEN 'out_of_domain'
          WHEN coalesce(ex.n, 0) = 0 AND b.concepts = b.next THEN 'ambiguous_instrument' WHEN coalesce(ex.n, 0) = 0 AND b.concepts < 2 THEN 'underspecified'
          ELSE 'domain_supported' END AS reason
-FROM ask LEFT JOIN ex ON ex.item_id = ask.item_id LEFT JOIN best b ON b.item_id = ask.item_id AND b.k = 1""")
+FROM ask LEFT JOIN ex ON ex.item_id = ask.item_id LEFT JOIN best b ON b.item_id = ask.item_id AND b.k = 1)"""
+
+
+@query(f"WITH {_ALIAS_SQL}, {_GATE_SQL} SELECT * FROM gated")
 def query_gate(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.gate(_asked(spark, d), _corpus(spark, d), "item_id", "asked")
 
@@ -179,3 +182,16 @@ def holdout_leakage(spark: SparkSession, d: str) -> DataFrame:
     compact = F.replace(text.search_form(F.col("text")), F.lit(" "), F.lit(""))
     rows = table(spark, d, "documents").select("doc_id", compact.alias("compact"))
     return rows.join(small(phrases), F.expr("contains(compact, needle)")).select("doc_id", "phrase")
+
+
+@query(f"""WITH asked_items AS (SELECT item_id, query || ' ' || array_to_string(tags, ' ') AS query FROM eval_items),
+{_SCORES_SQL.replace("FROM eval_items)", "FROM asked_items)", 1)}, {_ALIAS_SQL}, {_GATE_SQL},
+con AS (SELECT item_id, id, count(DISTINCT concept) AS concepts FROM hit GROUP BY 1, 2),
+tot AS (SELECT coalesce(s.item_id, c.item_id) AS item_id, coalesce(s.id, c.id) AS id, round(coalesce(score, 0) + 4 * coalesce(concepts, 0), 6) AS score
+        FROM scores s FULL JOIN con c ON c.item_id = s.item_id AND c.id = s.id),
+pass AS (SELECT tot.* FROM tot JOIN gated USING (item_id) WHERE reason = 'domain_supported'),
+chosen AS (SELECT *, row_number() OVER w AS rank, round(score - lead(score) OVER w, 6) AS margin FROM pass WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, id))
+SELECT g.item_id, reason, id, score, rank, margin, CASE WHEN id IS NULL OR score < 2.0 THEN 'abstained' WHEN margin < 0.35 THEN 'review' ELSE 'supported' END AS decision
+FROM gated g LEFT JOIN chosen b ON b.item_id = g.item_id AND b.rank <= 3""")
+def retrieve_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return pipelines.retrieve(_asked(spark, d), _corpus(spark, d), "item_id", "asked")
