@@ -158,20 +158,32 @@ class Scanner:
         self.step = dict(zip(automaton.keys.tolist(), automaton.targets.tolist(), strict=True))
         self.link, self.length = automaton.link.tolist(), automaton.length.tolist()
 
-    def may_match(self, points: np.ndarray) -> bool:
-        """False only if no run is shared: such a run holds a window of half its length at a multiple of that length."""
+    def may_match(self, texts: list[str]) -> np.ndarray:
+        """False only where no run is shared: such a run holds a window of half its length at a multiple of that length.
+
+        All texts are normalised and hashed together.
+        """
         half = self.a.run // 2
-        found = window_hashes(points, half, half)
-        if not len(found) or not len(self.a.hashes):
-            return False
-        at = np.minimum(np.searchsorted(self.a.hashes, found), len(self.a.hashes) - 1)
-        return bool((self.a.hashes[at] == found).any())
+        hit = np.zeros(len(texts), dtype=bool)
+        points, places = normalise("".join(texts))
+        ends = np.cumsum([len(t) for t in texts])
+        counts = np.diff(np.searchsorted(places, ends), prepend=0)
+        windows = np.maximum(0, counts - half) // half + (counts >= half)
+        if not windows.sum() or not len(self.a.hashes):
+            return hit
+        owner = np.repeat(np.arange(len(texts)), windows)
+        first = np.cumsum(counts) - counts
+        at = first[owner] + half * (np.arange(len(owner)) - (np.cumsum(windows) - windows)[owner])
+        found = np.zeros(len(at), dtype=np.uint64)
+        for j in range(half):
+            found = found * _BASE + points[at + j].astype(np.uint64) + np.uint64(1)
+        near = np.minimum(np.searchsorted(self.a.hashes, found), len(self.a.hashes) - 1)
+        hit[owner[self.a.hashes[near] == found]] = True
+        return hit
 
     def scan(self, text: str) -> tuple[list[int], list[tuple[int, int]], int, int]:
         """(items leaked, spans of text as [begin, end), letters matched, letters) of one text."""
         points, places = normalise(text)
-        if not self.may_match(points):
-            return [], [], 0, len(points)
         step, link, length, run = self.step, self.link, self.length, self.a.run
         state = matched = 0
         states: set[int] = set()
@@ -200,6 +212,13 @@ class Scanner:
         return items, spans, sum(e - b + 1 for b, e in ends), len(points)
 
 
+def _parts(batch: pd.DataFrame, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Parts of a batch of about most characters each, so that memory doesn't grow with the length of texts."""
+    group = batch["text"].str.len().cumsum().floordiv(most)
+    for _, part in batch.groupby(group, sort=False):
+        yield part
+
+
 SCAN_SCHEMA = "doc_id long, text string, items array<long>, spans array<struct<begin:int,end:int>>, matched long, letters long"
 
 
@@ -221,10 +240,12 @@ def scan_leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFr
         scanner = Scanner(shared.value)
         for b in batches:
             out = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                found, spans, matched, letters = scanner.scan(text)
-                if found:
-                    out.append((doc_id, text, found, [{"begin": s, "end": e} for s, e in spans], matched, letters))
+            for part in _parts(b):
+                texts = part["text"].tolist()
+                for i in np.flatnonzero(scanner.may_match(texts)).tolist():
+                    found, spans, matched, letters = scanner.scan(texts[i])
+                    if found:
+                        out.append((part["doc_id"].iat[i], texts[i], found, [{"begin": s, "end": e} for s, e in spans], matched, letters))
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "text", "items", "spans", "matched", "letters"])
 
