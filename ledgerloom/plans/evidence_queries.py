@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import numeric, text
+from ledgerloom.functions import numeric, strict_values, text
 from ledgerloom.operators import evidence, pipelines, winners
 from ledgerloom.plans.registry import Registry
 from ledgerloom.session import small, table
@@ -308,3 +308,10 @@ def extract_records(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_MATCH_SQL} SELECT reason, count(*) AS lines FROM matched WHERE label IS NULL GROUP BY 1")
 def unmatched_reasons(spark: SparkSession, d: str) -> DataFrame:
     return _extraction(spark, d).unmatched.groupBy("reason").agg(F.count("*").alias("lines"))
+
+
+@query()
+def strict_field_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every field candidate under the strict rules; the lookarounds of the rules have no counterpart in DuckDB."""
+    rows = table(spark, d, "candidates").filter("field IS NOT NULL").select("cand_id", "field", "raw_value").distinct()
+    return strict_values.strict_values(rows, "cand_id", "raw_value")
