@@ -14,7 +14,7 @@ def test_case_with_its_files(spark, tmp_path):
     (tmp_path / "p.csv").write_text("row,col,red\n0,0,0.5\n0,1,x\n")
     (tmp_path / "m.json").write_text(json.dumps({"files": {"pixels": "p.csv"}}))
     case = load_case(spark, tmp_path / "m.json", COLUMNS)
-    assert case.tables["pixels"].count() == 1 == case.violations["pixels"].count() and case.evidence["pixels"]["bytes"] == 28
+    assert case.tables["pixels"].count() == 1 == case.violations["pixels"].count() and case.evidence["pixels"]["bytes"] == 26
     for files in ({"pixels": "../p.csv"}, {"pixels": "p.csv", "more": "p.csv"}, {}):
         (tmp_path / "m.json").write_text(json.dumps({"files": files}))
         with pytest.raises(ValueError):
