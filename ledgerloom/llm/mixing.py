@@ -20,6 +20,7 @@ from ledgerloom.session import materialise
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 MOST_SOURCES = 10_000
+ENCODED_CHARACTERS = 200_000
 
 
 @dataclass(frozen=True)
@@ -48,8 +49,11 @@ def tokenise(documents: DataFrame, path: str) -> DataFrame:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         for b in batches:
-            ids = [e.ids for e in tokenizer.encode_batch(b["text"].tolist(), add_special_tokens=False)]
-            yield pd.DataFrame({"source": b["source"], "doc_id": b["doc_id"], "tokens": ids})
+            # Encodings hold much more than ids, so only some texts are encoded at a time.
+            group = b["text"].str.len().cumsum().floordiv(ENCODED_CHARACTERS)
+            for _, part in b.groupby(group, sort=False):
+                ids = [np.array(e.ids, dtype=np.int32) for e in tokenizer.encode_batch(part["text"].tolist(), add_special_tokens=False)]
+                yield pd.DataFrame({"source": part["source"], "doc_id": part["doc_id"], "tokens": ids})
 
     return first.select("r.*").mapInPandas(encode, "source string, doc_id long, tokens array<int>")
 
