@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import materialise
+from ledgerloom.session import discard, materialise
 
 BAND, INDEX = "decimal(10,6)", "decimal(38,30)"
 
@@ -86,7 +86,7 @@ def components(cells: DataFrame, group: str, connectivity: int = 4, rounds: int
 
     Labels start as packed coordinates; each round takes the least label of the neighbours, then follows the label of
     the label (pointer jumping), so that rounds grow with the logarithm of a component's extent on plain shapes. Lineage
-    is cut in shared storage each round; nothing but one count is collected. rounds bounds a runaway loop by an error.
+    is cut in shared storage each round, and the table of the round before deleted; nothing but one count is collected. rounds bounds a runaway loop by an error.
     """
     offsets = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if connectivity == 8 else [])
     key = lambda r, c: r.cast("long") * F.lit(1 << 31) + c.cast("long")
@@ -94,14 +94,16 @@ def components(cells: DataFrame, group: str, connectivity: int = 4, rounds: int
     around = F.array(*(F.struct((F.col("row") + a).alias("r"), (F.col("col") + b).alias("c")) for a, b in offsets))
     reach = base.withColumn("n", F.explode(around)).select(group, "k", key(F.col("n.r"), F.col("n.c")).alias("to"))
     edges = materialise(reach.join(base.select(group, F.col("k").alias("to")), [group, "to"]), "edges")
-    labels = materialise(base.withColumn("label", F.col("k")), "labels")
+    written = materialise(base.withColumn("label", F.col("k")), "labels")
+    labels = written
     for _ in range(rounds):
         near = edges.join(labels.select(group, F.col("k").alias("to"), F.col("label").alias("theirs")), [group, "to"]).groupBy(group, "k").agg(F.min("theirs").alias("near"))
         lower = labels.join(near, [group, "k"], "left").withColumn("lower", F.least("label", "near"))
         jump = labels.select(group, F.col("k").alias("lower"), F.col("label").alias("jumped"))
         stepped = lower.join(jump, [group, "lower"], "left").withColumn("fresh", F.least("lower", "jumped"))
         updated = materialise(stepped.select(group, "row", "col", "k", F.col("fresh").alias("label"), (F.col("fresh") != F.col("label")).alias("moved")), "labels")
-        labels = updated.drop("moved")
+        discard(written)  # the new table stands alone
+        written, labels = updated, updated.drop("moved")
         if updated.filter("moved").limit(1).count() == 0:
             break
     else:
