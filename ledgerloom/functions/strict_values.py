@@ -30,6 +30,7 @@ def _words(items: tuple[str, ...]) -> str:
     return r"(?<![A-Za-z])(?:" + "|".join(i.replace(" ", r"\s+") for i in items) + r")(?![A-Za-z])"
 
 
+# Patterns of numbers, units and currencies; what they accept decides results.
 _NEGATED = r"(?i)(?<![A-Za-z0-9_])not(?![A-Za-z0-9_])|" + "|".join(w.replace(" ?", r"\s*") for w in NEGATED[1:])
 _BOUNDED = r"(?i)[<>≤≥]|" + _words(BOUNDS) + "|" + "|".join(w.replace(" ?", r"\s*") for w in BOUNDS_KO)
 _SIGNED = "(?i)" + _words(SIGN_WORDS) + "|" + "|".join(SIGN_WORDS_KO)
