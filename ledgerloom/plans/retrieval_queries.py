@@ -84,6 +84,13 @@ def text_composed(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("cand_id", text.composed(F.col("raw_label")).alias("form"))
 
 
+@query()
+def text_composed_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every label, whatever its letters; white space and composition are Python's, so that no SQL is given."""
+    rows = table(spark, d, "candidates").select("cand_id", "raw_label").distinct()
+    return rows.select("cand_id", text.composed(F.col("raw_label")).alias("form"))
+
+
 _ALIAS_SQL = f"""al AS (SELECT DISTINCT id, instrument, concept, {_FORM.format('alias')} AS alias FROM (
     SELECT id, instrument, concept, unnest(aliases) AS alias FROM (
         SELECT id, instrument, unnest(map_keys(concepts)) AS concept, unnest(map_values(concepts)) AS aliases FROM legal_corpus) x) y),
