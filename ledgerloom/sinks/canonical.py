@@ -49,8 +49,10 @@ def feature_collection(features: DataFrame, order: list[str]) -> str:
 
 
 def svg_grid(cells: DataFrame, size: int = 12) -> str:
-    """A picture of row, col, fill cells."""
-    rows = cells.select("row", "col", "fill").orderBy("row", "col").limit(MOST_ROWS).collect()
+    """A picture of row, col, fill cells; more than MOST_ROWS are an error."""
+    rows = cells.select("row", "col", "fill").orderBy("row", "col").limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} cells")
     body = "".join(f'<rect x="{r.col * size}" y="{r.row * size}" width="{size}" height="{size}" fill="{html.escape(r.fill)}"/>\n' for r in rows)
     width, height = (max((r.col for r in rows), default=-1) + 1) * size, (max((r.row for r in rows), default=-1) + 1) * size
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">\n{body}</svg>\n'
