@@ -78,6 +78,13 @@ def text_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.search_form(F.col("text")).alias("form"))
 
 
+@query()
+def text_normalize_folded(spark: SparkSession, d: str) -> DataFrame:
+    """The search form after compatibility folding, which SQL lacks."""
+    folded = text.search_form(text.compatibility_fold(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", folded.alias("form"))
+
+
 @query("SELECT cand_id, nfc_normalize(regexp_replace(raw_label, '\\s+', ' ', 'g')) AS form FROM (SELECT DISTINCT cand_id, raw_label FROM candidates WHERE regexp_full_match(raw_label, '[!-~가-힣 ]+'))")
 def text_composed(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "candidates").filter(F.col("raw_label").rlike("^[!-~가-힣 ]+$")).select("cand_id", "raw_label").distinct()
