@@ -21,24 +21,32 @@ from ledgerloom.session import materialise
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 MOST_SOURCES = 10_000
 ENCODED_CHARACTERS = 200_000
+#: Counts that the driver draws and broadcasts at most (parts of the mixture x sources); shards are drawn within parts.
+DRAWN_COUNTS = 500_000
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Settings: tokens of a block, slots of a shard, most shards, seed, and the tokens wanted (None: all there are)."""
+    """Settings: tokens of a block, slots of a shard at most, seed, and the tokens wanted (None: all there are)."""
 
     block: int = 512
     shard_slots: int = 1000
-    most_shards: int = 4096
+    #: Parts of the mixture, each a run of shards that one task draws; there are as many shards as the slots need.
+    parts: int = 4096
     seed: int = 7
+    #: The token that ends every text, so that no packed text runs into the next (None: none).
+    separator: str | None = "<|endoftext|>"
     tokens: int | None = None
     #: Texts of a chunk, within which running sums are taken.
     chunk: int = 20_000
     tokenizer: str = TOKENIZER
 
 
-def tokenise(documents: DataFrame, path: str) -> DataFrame:
-    """source, doc_id, tokens of every distinct text of a source: a text under several ids or sources counts once."""
+def tokenise(documents: DataFrame, path: str, separator: str | None = None) -> DataFrame:
+    """source, doc_id, tokens of every distinct text of a source: a text under several ids or sources counts once.
+
+    Where separator names a token of the vocabulary, it ends every text.
+    """
     rows = documents.select("doc_id", "source", "text").filter("text IS NOT NULL AND text <> '' AND source IS NOT NULL")
     first = rows.groupBy(F.sha2("text", 256).alias("#key")).agg(F.min_by(F.struct("source", "doc_id", "text"), F.struct("doc_id", "source")).alias("r"))
 
@@ -48,11 +56,14 @@ def tokenise(documents: DataFrame, path: str) -> DataFrame:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
+        last = [] if separator is None else [tokenizer.token_to_id(separator)]
+        if None in last:
+            raise ValueError(f"the tokenizer has no token {separator}")
         for b in batches:
             # Encodings hold much more than ids, so only some texts are encoded at a time.
             group = b["text"].str.len().cumsum().floordiv(ENCODED_CHARACTERS)
             for _, part in b.groupby(group, sort=False):
-                ids = [np.array(e.ids, dtype=np.int32) for e in tokenizer.encode_batch(part["text"].tolist(), add_special_tokens=False)]
+                ids = [np.array(e.ids + last, dtype=np.int32) for e in tokenizer.encode_batch(part["text"].tolist(), add_special_tokens=False)]
                 yield pd.DataFrame({"source": part["source"], "doc_id": part["doc_id"], "tokens": ids})
 
     return first.select("r.*").mapInPandas(encode, "source string, doc_id long, tokens array<int>")
@@ -119,15 +130,48 @@ def permute(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out
 
 
+def draw_parts(slots: int, shares: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first shard of each part and the end, slots of each source before each part, slots of each source in it).
+
+    Every part is a multinomial draw; their number is bounded by the plan and by DRAWN_COUNTS, not their length.
+    """
+    shards = max(1, -(-slots // plan.shard_slots))
+    parts = int(max(1, min(plan.parts, shards, DRAWN_COUNTS // max(1, len(shares)))))
+    starts = np.array([shards * p // parts for p in range(parts + 1)], dtype=np.int64)
+    edges = np.minimum(starts * plan.shard_slots, slots)
+    rng = np.random.default_rng(plan.seed)
+    if len(shares) and shares.sum():
+        drawn = np.array([rng.multinomial(n, shares) for n in np.diff(edges)], dtype=np.int64)
+    else:
+        drawn = np.zeros((parts, len(shares)), dtype=np.int64)
+    return starts, np.cumsum(drawn, axis=0) - drawn, drawn
+
+
+def shard_counts(drawn: np.ndarray, shards: int, plan: Plan, part: int) -> Iterator[np.ndarray]:
+    """Slots of each source in each shard of a part: drawn without replacement from the part's slots.
+
+    Given the counts of a part, this is how a multinomial per shard is distributed, so no task needs to know the shards
+    of any other part.
+    """
+    rng = np.random.default_rng([plan.seed, 1, part])
+    left = drawn.copy()
+    for k in range(shards):
+        n = int(min(plan.shard_slots, left.sum()))
+        taken = left.copy() if k == shards - 1 or not n else rng.multivariate_hypergeometric(left, n, method="marginals")
+        left -= taken
+        yield taken
+
+
 def mix(documents: DataFrame, targets: DataFrame, plan: Plan = Plan()) -> tuple[DataFrame, DataFrame]:
     """(the mixture, the report).
 
     Mixture: shard, slot, source, repeat, block, n_tokens, tokens. Report: source, target_share, max_repeats, texts,
     tokens_available, tokens_wanted, tokens_reached, share_reached, most_uses, shortfall, for every source with a target.
-    No block, and so no text, is used more than max_repeats times; slots beyond that stay empty and are reported as
-    shortfall. Defined results: null and empty texts, and sources without a target, are left out; a target whose source
-    has no text falls short as a whole; null shares or repeats count as 0; shares are taken in relation to their sum;
-    equal texts count once, under the smallest doc_id; other columns are ignored; empty inputs give an empty mixture.
+    Tokens count the separators. No block, and so no text, is used more than max_repeats times; slots beyond that stay
+    empty and are reported as shortfall. The report follows from sizes alone and reads no tokens. Defined results: null
+    and empty texts, and sources without a target, are left out; a target whose source has no text falls short as a
+    whole; null shares or repeats count as 0; shares are taken in relation to their sum; equal texts count once, under
+    the smallest doc_id; other columns are ignored; empty inputs give an empty mixture.
     """
     spark = documents.sparkSession
     wanted = targets.groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most")).filter("source IS NOT NULL")
@@ -135,53 +179,38 @@ def mix(documents: DataFrame, targets: DataFrame, plan: Plan = Plan()) -> tuple[
     if len(goal) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources have a target")
     names = [g[0] for g in goal]
-    tokenised = materialise(tokenise(documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi"), plan.tokenizer), "tokens")
+    tokenised = materialise(tokenise(documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi"), plan.tokenizer, plan.separator), "tokens")
     blocks, sizes = pack(tokenised, plan)
     have = {r.source: r for r in sizes.collect()}  # bounded by the targets
-    total = plan.tokens if plan.tokens is not None else sum(int(r.tokens or 0) for r in have.values())
+    tokens = [int(have[s].tokens or 0) if s in have else 0 for s in names]
+    total = plan.tokens if plan.tokens is not None else sum(tokens)
     slots = -(-total // plan.block)
-    shards = int(min(plan.most_shards, max(1, -(-slots // plan.shard_slots))))
     shares = np.array([max(0.0, g[1]) for g in goal])
     shares = shares / shares.sum() if shares.sum() else shares
-    per_shard = np.full(shards, slots // shards) + (np.arange(shards) < slots % shards)
-    rng = np.random.default_rng(plan.seed)
-    drawn = np.array([rng.multinomial(n, shares) for n in per_shard]) if len(goal) and shares.sum() else np.zeros((shards, len(goal)), int)
-    drawn = drawn.reshape(shards, len(goal)).astype(np.int64)
-    first = np.cumsum(drawn, axis=0) - drawn  # slots of a source before each shard
+    starts, first, drawn = draw_parts(slots, shares, plan)
     room = [int(have[s].blocks) if s in have else 0 for s in names]
     most = [g[2] for g in goal]
+    shared = spark.sparkContext.broadcast((starts, first, drawn))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        starts, first, drawn = shared.value
         for b in batches:
-            for shard in b["id"]:
-                parts = []
-                for k, source in enumerate(names):
-                    j = first[shard, k] + np.arange(drawn[shard, k])
-                    j = j[j < room[k] * most[k]]
-                    if len(j):
-                        repeat = j // room[k]
-                        block = np.empty(len(j), dtype=np.int64)
-                        for e in np.unique(repeat).tolist():
-                            at = repeat == e
-                            block[at] = permute(j[at] % room[k], room[k], plan.seed * 1_000_003 + k * 1009 + e)
-                        parts.append(pd.DataFrame({"source": source, "repeat": repeat.astype(np.int32), "block": block}))
-                if parts:
-                    out = pd.concat(parts, ignore_index=True)
-                    order = np.random.default_rng([plan.seed, int(shard)]).permutation(len(out))
-                    out.insert(0, "shard", np.int32(shard))
-                    out.insert(1, "slot", order.astype(np.int32))
-                    yield out
-
-    slot_rows = spark.range(shards, numPartitions=min(shards, max(1, spark.sparkContext.defaultParallelism))).mapInPandas(
-        fill, "shard int, slot int, source string, repeat int, block long"
+            for part in b["id"].tolist():
+                at = first[part].copy()
+                shards = range(int(starts[part]), int(starts[part + 1]))
+                for shard, counts in zip(shards, shard_counts(drawn[part], len(shards), plan, part), strict=True):
+                    if len(out := _slots(shard, at, counts, names, room, most, tokens, plan)):
+                        yield out
+                    at += counts
+
+    parts = len(starts) - 1
+    slot_rows = spark.range(parts, numPartitions=min(parts, max(1, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(
+        fill, "shard long, slot int, source string, repeat int, block long, n_tokens int"
     )
-    mixture = slot_rows.join(blocks, ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "n_tokens", "tokens")
-    used = (
-        slot_rows.join(blocks.select("source", "block", "n_tokens"), ["source", "block"])
-        .groupBy("source").agg(F.sum("n_tokens").alias("tokens_reached"), (F.max("repeat") + 1).alias("most_uses"))
-    )
+    mixture = slot_rows.drop("n_tokens").join(blocks, ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "n_tokens", "tokens")
+    used = slot_rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens_reached"), (F.max("repeat") + 1).alias("most_uses"))
     facts = spark.createDataFrame(
-        [(s, float(p), m, int(have[s].texts) if s in have else 0, int(have[s].tokens or 0) if s in have else 0, float(p * total)) for (s, _, m), p in zip(goal, shares.tolist(), strict=True)],
+        [(s, float(p), m, int(have[s].texts) if s in have else 0, n, float(p * total)) for (s, _, m), p, n in zip(goal, shares.tolist(), tokens, strict=True)],
         "source string, target_share double, max_repeats int, texts long, tokens_available long, tokens_wanted double",
     )
     reached = F.coalesce("tokens_reached", F.lit(0)).cast("long")
@@ -194,3 +223,26 @@ def mix(documents: DataFrame, targets: DataFrame, plan: Plan = Plan()) -> tuple[
         F.greatest(F.lit(0.0), F.col("tokens_wanted") - reached).alias("shortfall"),
     )
     return mixture, report
+
+
+def _slots(shard: int, first: np.ndarray, counts: np.ndarray, names: list[str], room: list[int], most: list[int], tokens: list[int], plan: Plan) -> pd.DataFrame:
+    """The slots of one shard, in a random order: source, repetition, block and the tokens of the block."""
+    parts = []
+    for k, source in enumerate(names):
+        j = first[k] + np.arange(counts[k])
+        j = j[j < room[k] * most[k]]
+        if not len(j):
+            continue
+        repeat = j // room[k]
+        block = np.empty(len(j), dtype=np.int64)
+        for e in np.unique(repeat).tolist():
+            at = repeat == e
+            block[at] = permute(j[at] % room[k], room[k], plan.seed * 1_000_003 + k * 1009 + e)
+        n = np.where(block == room[k] - 1, tokens[k] - (room[k] - 1) * plan.block, plan.block)
+        parts.append(pd.DataFrame({"source": source, "repeat": repeat.astype(np.int32), "block": block, "n_tokens": n.astype(np.int32)}))
+    if not parts:
+        return pd.DataFrame()
+    out = pd.concat(parts, ignore_index=True)
+    out.insert(0, "shard", np.int64(shard))
+    out.insert(1, "slot", np.random.default_rng([plan.seed, 2, shard]).permutation(len(out)).astype(np.int32))
+    return out

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from ledgerloom.llm.mixing import TOKENIZER, Plan, mix, permute
+from ledgerloom.llm.mixing import TOKENIZER, Plan, draw_parts, mix, permute, shard_counts
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 17, 100, 4097])
@@ -33,7 +33,7 @@ def test_shares_caps_and_round_trip(spark):
     for source, extra in (("big", 1), ("mid", 0), ("tiny", 0)):
         whole = sorted({t for _, s, t in texts if s == source and t})
         blocks = sorted({(r.block, tuple(r.tokens)) for r in rows if r.source == source})
-        total = sum(len(tokenizer.encode(t, add_special_tokens=False).ids) for t in whole)
+        total = sum(len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in whole)
         assert facts[source].tokens_available == total and len({b for b, _ in blocks}) == len(blocks)
         assert facts[source].tokens_reached == sum(r.n_tokens for r in rows if r.source == source)
     assert facts["absent"].tokens_reached == 0 and facts["absent"].shortfall == facts["absent"].tokens_wanted > 0
@@ -50,7 +50,8 @@ def test_all_tokens_come_back(spark):
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     rows = mix(documents, targets, Plan(block=8, chunk=1000))[0].orderBy("block").collect()
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    want = [x for i, _, t in sorted(texts) for x in tokenizer.encode(t, add_special_tokens=False).ids]
+    end = tokenizer.token_to_id("<|endoftext|>")
+    want = [x for i, _, t in sorted(texts) for x in [*tokenizer.encode(t, add_special_tokens=False).ids, end]]
     assert [x for r in rows for x in r.tokens] == want
 
 
@@ -60,3 +61,33 @@ def test_empty(spark):
     mixture, report = mix(documents, targets)
     assert mixture.collect() == [] and {r.source for r in report.collect()} == {"a", "b"}
     assert mix(documents, targets.limit(0))[1].collect() == []
+
+
+def test_shares_reached(spark):
+    """Sources that have enough come within the error of the draw; one that runs out leaves its share to the others."""
+    texts = [(i, "abcd"[i % 4], f"{i} " + "some words of a text " * 10) for i in range(2400)]
+    documents = spark.createDataFrame(texts, "doc_id long, source string, text string")
+    targets = [("a", 0.4, 9), ("b", 0.3, 9), ("c", 0.2, 9), ("d", 0.1, 9)]
+    schema = "source string, target_share double, max_repeats int"
+    plan = Plan(block=16, shard_slots=50, parts=7)
+    for r in mix(documents, spark.createDataFrame(targets, schema), plan)[1].collect():
+        assert abs(r.share_reached - r.target_share) < 0.015 and abs(r.tokens_reached - r.tokens_wanted) < 0.05 * r.tokens_wanted + 1, r
+        assert r.shortfall == pytest.approx(max(0.0, r.tokens_wanted - r.tokens_reached))
+    short = {r.source: r for r in mix(documents, spark.createDataFrame([("a", 0.4, 1), *targets[1:]], schema), plan)[1].collect()}
+    assert short["a"].tokens_reached == short["a"].tokens_available and short["a"].shortfall > 0
+    rest = sum(short[s].tokens_reached for s in "bcd")
+    assert all(abs(short[s].tokens_reached / rest - short[s].target_share / 0.6) < 0.02 for s in "bcd")
+
+
+@pytest.mark.parametrize(("slots", "parts"), [(0, 4), (1, 4), (10_007, 4), (10_007, 1), (10_007, 5000)])
+def test_shards_add_up(slots, parts):
+    """Shards have as many slots as the plan says, and parts as many of each source as were drawn for them."""
+    plan, shares = Plan(shard_slots=10, parts=parts), np.array([0.5, 0.3, 0.2])
+    starts, first, drawn = draw_parts(slots, shares, plan)
+    sizes = []
+    for p in range(len(starts) - 1):
+        counts = list(shard_counts(drawn[p], int(starts[p + 1] - starts[p]), plan, p))
+        assert (sum(counts) == drawn[p]).all() and (first[p] == drawn[:p].sum(axis=0)).all()
+        sizes += [int(c.sum()) for c in counts]
+    assert sum(sizes) == slots and all(n == 10 for n in sizes[:-1]) and len(sizes) == max(1, -(-slots // 10))
+    assert slots < 1000 or abs(drawn.sum(axis=0) / slots - shares).max() < 0.02
