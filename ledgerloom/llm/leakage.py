@@ -1,7 +1,7 @@
 """Evaluation texts leaking into training text.
 
-A generalised suffix automaton of the normalised test items is built once and broadcast; every training text is streamed
-through it, tracking the longest matching length at each letter. Where that length reaches the limit, the items that
+A generalised suffix automaton of the normalised test items is built and broadcast (one per set of items, where all are
+more than a task should hold); every training text is streamed through it, tracking the longest matching length at each letter. Where that length reaches the limit, the items that
 hold the last letters are known from the state. Texts that share no short run with any item at fixed steps, which a
 long shared run cannot avoid, are passed over before streaming.
 """
@@ -11,18 +11,22 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import materialise
+
 #: Letters and digits of a shared run that count as a leak.
 RUN = 50
 #: A text more than this share of which is leaked is dropped as a whole by remove_leaks; else the spans are cut out.
 COVERAGE = 0.5
-#: Bound on the letters of all test items together, which the driver and every task hold.
-MOST_LETTERS = 20_000_000
+#: Letters of test items in one automaton, which the driver and every task hold (some 200 bytes each). More items are
+#: cut into several sets, and every text is streamed through each.
+SET_LETTERS = 500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,18 +226,38 @@ def _parts(batch: pd.DataFrame, most: int = 4_000_000) -> Iterator[pd.DataFrame]
 SCAN_SCHEMA = "doc_id long, text string, items array<long>, spans array<struct<begin:int,end:int>>, matched long, letters long"
 
 
-def scan_leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, text, items (leaked), spans, matched and letters of every document that leaks.
+def _pieces(run: int, most: int):
+    """item_id, piece, size: texts of items as letters and digits, in pieces of at most most that overlap by run - 1, so
+    that every run lies within one."""
 
-    items need item_id, query, passage. One scan and one map: no shuffle. Defined results: null and empty texts, and
-    items of fewer than run letters, match nothing; repeated texts are reported under each id; texts of any length are
-    streamed whole; other columns are ignored; an empty input gives an empty result.
-    """
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for item, text in zip(b["item_id"], b["t"], strict=True):
+                plain = normalise(text)[0].tobytes().decode("utf-32-le", "surrogatepass")
+                for start in range(0, max(1, len(plain) - run + 1), most - run + 1):
+                    if len(piece := plain[start : start + most]) >= run:
+                        rows.append((item, piece, len(piece)))
+            if rows:
+                yield pd.DataFrame(rows, columns=["item_id", "piece", "size"])
+
+    return cut
+
+
+def _sets(items: DataFrame, run: int, most: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in sets of about most letters; one set reaches the driver at a time."""
     rows = items.select("item_id", F.explode(F.array("query", "passage")).alias("t")).filter("t IS NOT NULL")
-    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    if total > MOST_LETTERS:
-        raise ValueError(f"test items of {total} characters exceed the bound of {MOST_LETTERS}; scan them in several sets")
-    automaton = build_automaton([(r.item_id, r.t) for r in rows.orderBy("item_id", "t").collect()], run)
+    pieces = rows.mapInPandas(_pieces(run, max(2 * run, most // 4)), "item_id long, piece string, size int")
+    total = pieces.agg(F.sum("size")).first()[0] or 0
+    count = max(1, -(-total // most))
+    if count > 1:
+        pieces = materialise(pieces.withColumn("s", F.pmod(F.xxhash64("piece"), F.lit(count))), "items")
+    for k in range(count):
+        part = pieces if count == 1 else pieces.filter(F.col("s") == k)
+        yield [(r.item_id, r.piece) for r in part.orderBy("item_id", "piece").collect()]
+
+
+def _scan_set(documents: DataFrame, automaton: Automaton) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(automaton)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,9 +276,49 @@ def scan_leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFr
     return documents.select("doc_id", "text").filter("text IS NOT NULL").mapInPandas(scan, SCAN_SCHEMA)
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
-    """doc_id, item_id of every document and test item that share a run, each once."""
-    return scan_leaks(documents, items, run).select("doc_id", F.explode("items").alias("item_id")).distinct()
+def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spans of several sets joined where they overlap or touch, and the letters within them counted again."""
+    for b in batches:
+        rows = []
+        for doc_id, text, items, spans, letters in zip(b["doc_id"], b["text"], b["items"], b["spans"], b["letters"], strict=True):
+            places = normalise(text)[1]
+            found: list[list[int]] = []  # [first, last] letters
+            for s in sorted(spans, key=lambda s: s["begin"]):
+                first, last = (int(x) for x in np.searchsorted(places, (s["begin"], s["end"])))
+                if found and first <= found[-1][1]:
+                    found[-1][1] = max(found[-1][1], last)
+                else:
+                    found.append([first, last])
+            merged = [{"begin": int(places[f]), "end": int(places[e - 1]) + 1} for f, e in found]
+            rows.append((doc_id, text, sorted(items), merged, sum(e - f for f, e in found), letters))
+        yield pd.DataFrame(rows, columns=["doc_id", "text", "items", "spans", "matched", "letters"])
+
+
+def _scans(documents: DataFrame, items: DataFrame, run: int, set_letters: int) -> list[DataFrame]:
+    return [_scan_set(documents, build_automaton(part, run)) for part in _sets(items, run, set_letters)]
+
+
+def scan_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, set_letters: int = SET_LETTERS) -> DataFrame:
+    """doc_id, text, items (leaked), spans, matched and letters of every document that leaks.
+
+    items need item_id, query, passage. One scan and one map per set of items of set_letters letters; what several sets
+    find in a text is joined, so that the result does not depend on the sets. Defined results: null and empty texts, and
+    items of fewer than run letters, match nothing; repeated texts are reported under each id, and repeated rows once;
+    texts of any length are streamed whole; other columns are ignored; an empty input gives an empty result.
+    """
+    scans = _scans(documents, items, run, set_letters)
+    if len(scans) == 1:
+        return scans[0].dropDuplicates(["doc_id", "text"])
+    joined = reduce(DataFrame.unionAll, scans).groupBy("doc_id", "text").agg(
+        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"), F.max("letters").alias("letters")
+    )  # a row per set at most, but for repeated rows
+    return joined.mapInPandas(_merge, SCAN_SCHEMA)
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, set_letters: int = SET_LETTERS) -> DataFrame:
+    """doc_id, item_id of every document and test item that share a run, each once; no text is moved."""
+    every = reduce(DataFrame.unionAll, _scans(documents, items, run, set_letters))
+    return every.select("doc_id", F.explode("items").alias("item_id")).distinct()
 
 
 def remove_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, coverage: float = COVERAGE) -> DataFrame:

@@ -58,3 +58,16 @@ def test_removal_and_edges(spark):
     assert out[2].action == "drop" and out[2].text is None
     assert out[1].action == "cut" and "wizards" not in out[1].text and out[1].text.startswith(filler[:700]) and out[1].text.endswith(filler)
     assert scan_leaks(df.limit(0), tests).collect() == [] and leaked_items(df, tests.limit(0)).collect() == []
+
+
+def test_sets_of_items_make_no_difference(spark):
+    """Items beyond one automaton are scanned in sets: same items, spans, letters and cut texts."""
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcde F-한") for _ in range(n))
+    items = [(i, text(rng.randint(0, 90)), text(rng.randint(0, 400))) for i in range(30)]
+    documents = [(i, text(30) + items[i % 30][2][: rng.randint(20, 400)].upper() + text(30) + items[(i + 1) % 30][2]) for i in range(60)]
+    df, tests = spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, query string, passage string")
+    one, many = ({r.doc_id: r for r in scan_leaks(df, tests, 12, n).collect()} for n in (10**6, 900))
+    assert one.keys() == many.keys() and len(one) > 50
+    for k, r in one.items():
+        assert (sorted(r["items"]), r.spans, r.matched, r.letters) == (many[k]["items"], many[k].spans, many[k].matched, many[k].letters), k
