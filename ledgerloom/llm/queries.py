@@ -25,6 +25,10 @@ def p1_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.resolve(_candidates(spark, sf_dir), table(spark, sf_dir, "source_authority"))
 
 
+def p1_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.reliabilities(_candidates(spark, sf_dir), table(spark, sf_dir, "source_authority"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.mapped_candidates(_candidates(spark, sf_dir), table(spark, sf_dir, "field_labels"))
 
@@ -71,7 +75,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_resolved, p2_found, p2_unmatched, p5_found, p5_plain_lines, p6_found, p6_cleaned, p7_mix, p7_shares, p8_found, p8_restored,
+        p1_found, p1_resolved, p1_sources, p2_found, p2_unmatched, p5_found, p5_plain_lines, p6_found, p6_cleaned, p7_mix, p7_shares, p8_found, p8_restored,
     )
 }
 
