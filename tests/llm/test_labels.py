@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from ledgerloom.llm.labels import Reference, abbreviates, edits, map_labels, mapped_candidates, tokens, unmatched_labels
+from ledgerloom.llm.labels import Reference, _joined_tokens, abbreviates, distances, edits, map_labels, mapped_candidates, prefix_keys, token_similarity, tokens, unmatched_labels
 
 LABELS = [("Net shipment weight", "mass"), ("M5 net mass", "m5"), ("M12 net mass", "m12"), ("Certificate price", "price"), ("M5 process direct emissions", "direct"), ("M5 process indirect emissions", "indirect"), ("출하 순중량 합계", "mass"), ("전력 소비 총량", "energy"), ("CN heading", "cn")]
 
@@ -74,3 +74,46 @@ def test_edges(candidates, reference):
     assert [tuple(r) for r in mapped_candidates(rows, reference).collect()] == [(3, "cn")]
     assert mapped_candidates(rows, reference.limit(0)).collect() == []
     assert {r.raw_label for r in unmatched_labels(rows, reference).collect()} == {None}
+
+
+def test_distances_of_batches():
+    rng = random.Random(9)
+    pairs = [["".join(rng.choice("abcd한") for _ in range(rng.choice([0, 1, 3, 6, 9]))) for _ in "ab"] for _ in range(600)]
+    assert distances(*zip(*pairs, strict=True)).tolist() == [slow_edits(a, b) for a, b in pairs]
+    assert distances([], []).tolist() == []
+
+
+def test_prefix_keys_lose_no_pair():
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 12))) for _ in range(250)]
+    for least in (0.6, 0.74):
+        for a in words:
+            for b in words[:60]:
+                size = max(len(a), len(b))
+                if slow_edits(a, b) <= int((1 - least) * size):
+                    assert set(prefix_keys(a, least)) & set(prefix_keys(b, least)), (a, b)
+
+
+def test_joined_tokens_agree_with_the_plain_form(spark):
+    rng = random.Random(12)
+    words = sorted({w for label, _ in LABELS for w in tokens(label)} | {"emission", "emitted", "m55", "mass5"})
+    unknown = {"".join(rng.choice(w) if rng.random() < 0.2 else c for c in w) + rng.choice(["", "", "s", "5"]) for w in words * 6} | {"emiss", "rnass", "we1ght", "m1122", "inddir", "prc"}
+    unknown = sorted(t for t in unknown if t not in words)
+    frames = [spark.createDataFrame([(x,) for x in xs], f"{name} string") for xs, name in ((unknown, "token"), (words, "word"))]
+    got = {(r.token, r.word): round(r.similarity, 9) for r in _joined_tokens(*frames).collect()}
+    assert got == {(t, w): round(s, 9) for t in unknown for w in words if (s := token_similarity(t, w))} and len(got) > 50
+
+
+def test_blocks_make_no_difference(candidates, reference):
+    df = candidates(*({"cand_id": i, "raw_label": label} for i, label in enumerate(CASES)))
+    one, many = (sorted((tuple(r) for r in map_labels(df, reference, n).collect()), key=str) for n in (1000, 2))
+    assert one == many
+
+
+def test_decorations_are_learnt(spark, candidates):
+    listed = [(f"{w} amount", w) for w in ("steel", "copper", "timber", "cement", "glass", "paper")]
+    reference = spark.createDataFrame(listed, "label string, field string")
+    labels = [f"{label} zwischenstand" for label, _ in listed[:5]] + ["PAPER-amount zwischenstnd", "paper amount lorry", "paper lorry"]
+    df = candidates(*({"cand_id": i, "raw_label": label} for i, label in enumerate(labels)))
+    got = {r.raw_label: r.score for r in map_labels(df, reference).collect()}
+    assert all(got[x] == 1.0 for x in labels[:6]) and got["paper amount lorry"] < 1.0 and got["paper lorry"] < 0.6
