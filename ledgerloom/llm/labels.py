@@ -481,7 +481,7 @@ def map_labels(candidates: DataFrame, reference: DataFrame, block_entries: int =
         every_block = ranked[0]
         for other in ranked[1:]:
             every_block = every_block.unionAll(other)
-        order = F.struct((-F.col("score")).alias("s"), "label", "target")
+        order = F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("s"), "label", "target"))
         best = every_block.groupBy("raw_label").agg(F.min_by(F.struct("target", "score"), order).alias("b")).select("raw_label", "b.*")
     return best.select("raw_label", F.when(F.col("score") >= ENTRY_SCORE, F.col("target")).alias("field"), "score")
 
