@@ -37,12 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in which lineage is cut.
 
-    A cluster names it in spark.checkpoint.dir; only where that is unset (tests, one machine) a temporary one is made.
+    A cluster names it in spark.checkpoint.dir; only where that is unset and the master is local (tests, one machine) a
+    temporary one is made. A cluster without such a folder is an error, as executors would write to different disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -81,12 +85,3 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(package.parent))
     context.addPyFile(str(archive))
     context._ledgerloom_shipped = True
-
-
-def materialise_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
-    """As materialise, but bucketed by keys: later joins and aggregations on keys need no shuffle."""
-    spark = df.sparkSession
-    unique = f"{name}_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).format("parquet")
-    writer.option("path", f"{shared_dir(spark)}/{unique}").saveAsTable(unique)
-    return spark.table(unique)
