@@ -116,4 +116,4 @@ def test_decorations_are_learnt(spark, candidates):
     labels = [f"{label} zwischenstand" for label, _ in listed[:5]] + ["PAPER-amount zwischenstnd", "paper amount lorry", "paper lorry"]
     df = candidates(*({"cand_id": i, "raw_label": label} for i, label in enumerate(labels)))
     got = {r.raw_label: r.score for r in map_labels(df, reference).collect()}
-    assert all(got[x] == 1.0 for x in labels[:6]) and got["paper amount lorry"] < 1.0 and got["paper lorry"] < 0.6
+    assert all(got[x] > 0.999 for x in labels[:6]) and got["paper amount lorry"] < 0.9 and got["paper lorry"] < 0.6
