@@ -34,6 +34,16 @@ def composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).split()))
 
 
+def folded(text: Column) -> Column:
+    """NFKC and case folding; only texts with other letters than ASCII and whole Hangul leave the JVM."""
+    return F.coalesce(compatibility_fold(F.when(text.rlike("[^\\x00-\\x7F가-힣]"), text)), F.lower(text))
+
+
+def folded_form(text: Column) -> Column:
+    """search_form of the folded text."""
+    return search_form(folded(text))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 

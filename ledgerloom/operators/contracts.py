@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import search_form
+from ledgerloom.functions.text import folded_form
 from ledgerloom.session import small
 
 
@@ -54,6 +54,6 @@ def case_errors(cases: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
 def alias_errors(corpus: DataFrame) -> DataFrame:
     """id, alias of aliases that are blank or stand for two concepts of one entry after normalisation."""
     aliases = corpus.select("id", F.explode("concepts").alias("concept", "aliases")).select("id", "concept", F.explode("aliases").alias("a"))
-    plain = aliases.select("id", "concept", search_form(F.col("a")).alias("alias"))
+    plain = aliases.select("id", "concept", folded_form(F.col("a")).alias("alias"))
     counts = plain.groupBy("id", "alias").agg(F.countDistinct("concept").alias("concepts"))
     return counts.filter((F.col("alias") == "") | (F.col("concepts") > 1)).select("id", "alias")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators import pipelines, retrieval
+from ledgerloom.operators.phrases import with_phrases
 from ledgerloom.plans.registry import Registry
-from ledgerloom.session import small, table
+from ledgerloom.session import table
 
 registry = Registry()
 query = registry.query
@@ -25,12 +26,14 @@ def _grams(ws: str) -> str:
 _TERMS_OF = lambda t: (_WORDS.format(f"lower({t})"), _grams(_WORDS.format(f"lower({t})")))
 _W, _G = _TERMS_OF("t")
 
-_FIELDS_SQL = """f AS (
-    SELECT id, 'regulation' AS field, 5.0 AS w, 0.0 AS b, regulation AS t FROM legal_corpus
-    UNION ALL SELECT id, 'article', 8.0, 0.0, article FROM legal_corpus UNION ALL SELECT id, 'title', 4.0, 0.2, title FROM legal_corpus
-    UNION ALL SELECT id, 'keywords', 3.0, 0.2, array_to_string(keywords, ' ') FROM legal_corpus
+_NUMBER = "nullif(regexp_extract(lower(article), '\\b([0-9]+[a-z]?)\\b', 1), '')"
+_FIELDS_SQL = f"""f0 AS (
+    SELECT id, 'regulation' AS field, 5.0 AS w, 0.0 AS b, concat_ws(' ', instrument, regulation, celex) AS t FROM legal_corpus
+    UNION ALL SELECT id, 'article', 8.0, 0.0, concat_ws(' ', article, paragraph, '제' || {_NUMBER} || '조', {_NUMBER} || '조') FROM legal_corpus
+    UNION ALL SELECT id, 'title', 4.0, 0.2, title FROM legal_corpus UNION ALL SELECT id, 'keywords', 3.0, 0.2, array_to_string(keywords, ' ') FROM legal_corpus
     UNION ALL SELECT id, 'concepts', 4.0, 0.2, array_to_string(list_concat(map_keys(concepts), flatten(map_values(concepts))), ' ') FROM legal_corpus
-    UNION ALL SELECT id, 'summary', 1.0, 0.75, summary_ko FROM legal_corpus)"""
+    UNION ALL SELECT id, 'summary', 1.0, 0.75, summary_ko FROM legal_corpus),
+f AS (SELECT id, field, w, b, {_FORM.format("t")} AS t FROM f0)"""
 
 _SCORES_SQL = f"""{_FIELDS_SQL},
 tk AS (SELECT id, field, w, b, 'word' AS channel, unnest({_W}) AS term FROM f UNION ALL SELECT id, field, w, b, 'gram', unnest({_G}) FROM f),
@@ -41,11 +44,13 @@ dfs AS (SELECT channel, term, count(DISTINCT id) AS df FROM tk GROUP BY 1, 2),
 qs AS (SELECT item_id, {_FORM.format("query")} AS t FROM eval_items),
 q AS (SELECT item_id, channel, term, count(*) AS qtf FROM (
     SELECT item_id, 'word' AS channel, unnest({_W}) AS term FROM qs UNION ALL SELECT item_id, 'gram', unnest({_G}) FROM qs) x GROUP BY ALL),
-wt AS (SELECT tf.id, tf.channel, tf.term, sum(w * tf / (1 - b + b * n / a)) AS wtf
-    FROM tf JOIN ln ON ln.id = tf.id AND ln.field = tf.field AND ln.channel = tf.channel JOIN mn ON mn.field = tf.field AND mn.channel = tf.channel GROUP BY ALL),
-scores AS (SELECT item_id, id, round(sum(ln(1 + ((SELECT count(DISTINCT id) FROM f) - df + 0.5) / (df + 0.5)) * 2.2 * wtf / (1.2 + wtf)
-        * (1 + 0.1 * (least(qtf, 2) - 1)) * CASE WHEN q.channel = 'word' THEN 1.0 ELSE 0.18 END), 6) AS score
-    FROM q JOIN wt ON wt.channel = q.channel AND wt.term = q.term JOIN dfs ON dfs.channel = q.channel AND dfs.term = q.term GROUP BY ALL),
+pt AS (SELECT tf.id, tf.field, tf.channel, tf.term, w * tf / (1 - b + b * n / a) AS part
+    FROM tf JOIN ln ON ln.id = tf.id AND ln.field = tf.field AND ln.channel = tf.channel JOIN mn ON mn.field = tf.field AND mn.channel = tf.channel),
+wt AS (SELECT id, channel, term, sum(part) AS wtf FROM pt GROUP BY ALL),
+ts AS (SELECT item_id, id, q.channel, q.term, wtf, ln(1 + ((SELECT count(DISTINCT id) FROM f) - df + 0.5) / (df + 0.5)) * 2.2 * wtf / (1.2 + wtf)
+        * (1 + 0.1 * (least(qtf, 2) - 1)) * CASE WHEN q.channel = 'word' THEN 1.0 ELSE 0.18 END AS ts
+    FROM q JOIN wt ON wt.channel = q.channel AND wt.term = q.term JOIN dfs ON dfs.channel = q.channel AND dfs.term = q.term),
+scores AS (SELECT item_id, id, round(sum(ts), 6) AS score FROM ts GROUP BY ALL),
 top AS (SELECT *, row_number() OVER s AS rank, round(score - lead(score) OVER s, 6) AS margin FROM scores WINDOW s AS (PARTITION BY item_id ORDER BY score DESC, id))"""
 
 
@@ -85,25 +90,23 @@ def text_normalize_folded(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", folded.alias("form"))
 
 
-@query("SELECT cand_id, nfc_normalize(regexp_replace(raw_label, '\\s+', ' ', 'g')) AS form FROM (SELECT DISTINCT cand_id, raw_label FROM candidates WHERE regexp_full_match(raw_label, '[!-~가-힣 ]+'))")
-def text_composed(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "candidates").filter(F.col("raw_label").rlike("^[!-~가-힣 ]+$")).select("cand_id", "raw_label").distinct()
-    return rows.select("cand_id", text.composed(F.col("raw_label")).alias("form"))
+# White space as Python has it, so that labels of any letters can be compared.
+_SPACE = "[\\t\\n\\x0b\\f\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 
 
-@query()
-def text_composed_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every label, whatever its letters; white space and composition are Python's, so that no SQL is given."""
+@query(f"SELECT DISTINCT cand_id, trim(regexp_replace(nfc_normalize(raw_label), '{_SPACE}', ' ', 'g')) AS form FROM candidates")
+def text_composed(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "candidates").select("cand_id", "raw_label").distinct()
-    return rows.select("cand_id", text.composed(F.col("raw_label")).alias("form"))
+    return rows.select("cand_id", text.composed(F.col("raw_label")).alias("form")).distinct()
 
 
+_EDGES = "(regexp_matches({p}, '[^\\x00-\\x7f]') OR regexp_matches(asked, '(^|[^0-9a-z])' || {p} || '($|[^0-9a-z])'))"
 _ALIAS_SQL = f"""al AS (SELECT DISTINCT id, instrument, concept, {_FORM.format('alias')} AS alias FROM (
     SELECT id, instrument, concept, unnest(aliases) AS alias FROM (
         SELECT id, instrument, unnest(map_keys(concepts)) AS concept, unnest(map_values(concepts)) AS aliases FROM legal_corpus) x) y),
 ask AS (SELECT item_id, {_FORM.format('query || chr(32) || array_to_string(tags, chr(32))')} AS asked FROM eval_items),
 hit AS (SELECT item_id, id, instrument, concept FROM ask JOIN al ON alias <> '' AND contains(asked, alias)
-        AND (regexp_matches(alias, '[^\\x00-\\x7f]') OR contains(' ' || regexp_replace(asked, '[^0-9a-z]+', ' ', 'g') || ' ', ' ' || alias || ' ')))"""
+        AND {_EDGES.format(p="alias")})"""
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
@@ -116,20 +119,32 @@ def phrase_match(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.concept_hits(_asked(spark, d), _corpus(spark, d), "item_id", "asked").select("item_id", "id", "concepts")
 
 
-_GATE_SQL = f"""per AS (SELECT item_id, instrument, max(n) AS concepts FROM (SELECT item_id, id, instrument, count(DISTINCT concept) AS n FROM hit GROUP BY 1, 2, 3) x GROUP BY 1, 2),
-best AS (SELECT *, row_number() OVER w AS k, lead(concepts) OVER w AS next FROM per WINDOW w AS (PARTITION BY item_id ORDER BY concepts DESC, instrument)),
-ex AS (SELECT item_id, count(*) AS n FROM ask JOIN (SELECT DISTINCT lower(instrument) AS i FROM legal_corpus) z
-       ON contains(' ' || regexp_replace(asked, '[^0-9a-z]+', ' ', 'g') || ' ', ' ' || i || ' ') GROUP BY 1),
-gated AS (SELECT ask.item_id, CAST(coalesce(ex.n, 0) AS BIGINT) AS instruments, CAST(coalesce(b.concepts, 0) AS BIGINT) AS concepts,
-    CASE WHEN coalesce(ex.n, 0) > 1 THEN 'ambiguous_instrument' WHEN coalesce(ex.n, 0) = 0 AND coalesce(b.concepts, 0) = 0 THEN 'out_of_domain'
-         WHEN coalesce(ex.n, 0) = 0 AND b.concepts = b.next THEN 'ambiguous_instrument' WHEN coalesce(ex.n, 0) = 0 AND b.concepts < 2 THEN 'underspecified'
-         ELSE 'domain_supported' END AS reason
-FROM ask LEFT JOIN ex ON ex.item_id = ask.item_id LEFT JOIN best b ON b.item_id = ask.item_id AND b.k = 1)"""
-
-
-@query(f"WITH {_ALIAS_SQL}, {_GATE_SQL} SELECT * FROM gated")
+_LIST = lambda xs: "(VALUES " + ", ".join(f"({x})" for x in xs) + ")"
+_NAMES = _LIST(f"'{i}', '{a}'" for i, names in retrieval.INSTRUMENTS.items() for a in names)
+_CUES = _LIST(f"'{c}'" for c in retrieval.CUES)
+_REFERENCE = "(?:article|art\\.?)\\s*([0-9]+[a-z]?)|제\\s*([0-9]+[a-z]?)\\s*조"
+
+_GATE_SQL = f"""per AS (SELECT item_id, instrument, count(DISTINCT concept) AS n FROM hit GROUP BY 1, 2),
+best AS (SELECT item_id, max(n) AS n, arg_max(instrument, (n, instrument)) AS instrument FROM per GROUP BY 1),
+tied AS (SELECT per.item_id, count(*) AS k FROM per JOIN best b ON b.item_id = per.item_id AND b.n = per.n GROUP BY 1),
+ex AS (SELECT item_id, count(DISTINCT i) AS n, min(i) AS i FROM ask JOIN {_NAMES} z(i, a) ON contains(asked, a) AND {_EDGES.format(p="a")} GROUP BY 1),
+cu AS (SELECT item_id, count(DISTINCT c) AS n FROM ask JOIN {_CUES} z(c) ON contains(asked, c) AND {_EDGES.format(p="c")} GROUP BY 1),
+ar AS (SELECT item_id, list_sort(list_distinct(list_filter(list_concat(regexp_extract_all(asked, '{_REFERENCE}', 1), regexp_extract_all(asked, '{_REFERENCE}', 2)), lambda x: x <> ''))) AS articles FROM ask),
+g0 AS (SELECT ask.item_id, coalesce(ex.n, 0) AS named, ex.i AS one, coalesce(cu.n, 0) AS cues, articles, coalesce(own.n, 0) AS own, coalesce(b.n, 0) AS most, b.instrument AS guess, coalesce(tied.k, 0) AS ties
+    FROM ask LEFT JOIN ex ON ex.item_id = ask.item_id LEFT JOIN cu ON cu.item_id = ask.item_id LEFT JOIN ar ON ar.item_id = ask.item_id
+    LEFT JOIN per own ON own.item_id = ask.item_id AND own.instrument = ex.i LEFT JOIN best b ON b.item_id = ask.item_id LEFT JOIN tied ON tied.item_id = ask.item_id),
+g1 AS (SELECT *, CASE WHEN named > 1 THEN 'ambiguous_instrument'
+        WHEN named = 1 THEN CASE WHEN len(articles) > 0 OR own > 0 AND (cues > 0 OR own >= 2) THEN 'domain_supported' ELSE 'underspecified' END
+        WHEN len(articles) > 0 THEN 'ambiguous_instrument' WHEN cues = 0 OR most < 2 THEN 'out_of_domain' WHEN ties > 1 THEN 'ambiguous_instrument' ELSE 'domain_supported' END AS reason FROM g0),
+gated AS (SELECT item_id, CASE WHEN named = 1 THEN one WHEN named = 0 AND reason = 'domain_supported' THEN guess END AS instrument,
+        CASE WHEN named = 1 THEN 'explicit' WHEN named = 0 AND reason = 'domain_supported' THEN 'inferred_from_concepts' END AS source,
+        CAST(named AS INT) AS instruments, CAST(cues AS INT) AS cues, articles, CAST(CASE WHEN named = 1 THEN own ELSE most END AS INT) AS concepts, reason FROM g1)"""
+
+
+@query(f"WITH {_ALIAS_SQL}, {_GATE_SQL} SELECT * REPLACE (array_to_string(articles, ',') AS articles) FROM gated")
 def query_gate(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.gate(_asked(spark, d), _corpus(spark, d), "item_id", "asked")
+    rows = retrieval.gate(_asked(spark, d), _corpus(spark, d), "item_id", "asked")
+    return rows.withColumn("articles", F.array_join("articles", ","))
 
 
 _DOC_TERMS = f"dt AS (SELECT doc_id, unnest({_WORDS.format('lower(text)')}) AS term FROM documents)"
@@ -191,21 +206,78 @@ def holdout_leakage(spark: SparkSession, d: str) -> DataFrame:
         c.select(F.col("title").alias("t")).union(c.select("summary_ko")).union(c.select(F.explode("keywords")))
         .union(c.select(F.explode(F.flatten(F.map_values("concepts")))))
     )
-    phrases = parts.select(text.search_form(F.col("t")).alias("phrase")).distinct()
+    phrases = parts.select(text.folded_form(F.col("t")).alias("phrase")).distinct()
     phrases = phrases.withColumn("needle", F.replace(F.col("phrase"), F.lit(" "), F.lit(""))).filter(F.length("needle") >= 8)
-    compact = F.replace(text.search_form(F.col("text")), F.lit(" "), F.lit(""))
+    compact = F.replace(text.folded_form(F.col("text")), F.lit(" "), F.lit(""))
     rows = table(spark, d, "documents").select("doc_id", compact.alias("compact"))
-    return rows.join(small(phrases), F.expr("contains(compact, needle)")).select("doc_id", "phrase")
+    found = with_phrases(rows, ["doc_id"], F.col("compact"), phrases, "needle", "hits")
+    return found.select("doc_id", F.explode("hits.phrase").alias("phrase"))
 
 
-@query(f"""WITH asked_items AS (SELECT item_id, query || ' ' || array_to_string(tags, ' ') AS query FROM eval_items),
+_DECIDED_SQL = f"""asked_items AS (SELECT item_id, query || ' ' || array_to_string(tags, ' ') AS query FROM eval_items),
 {_SCORES_SQL.replace("FROM eval_items)", "FROM asked_items)", 1)}, {_ALIAS_SQL}, {_GATE_SQL},
 con AS (SELECT item_id, id, count(DISTINCT concept) AS concepts FROM hit GROUP BY 1, 2),
-tot AS (SELECT coalesce(s.item_id, c.item_id) AS item_id, coalesce(s.id, c.id) AS id, round(coalesce(score, 0) + 4 * coalesce(concepts, 0), 6) AS score
-        FROM scores s FULL JOIN con c ON c.item_id = s.item_id AND c.id = s.id),
-pass AS (SELECT tot.* FROM tot JOIN gated USING (item_id) WHERE reason = 'domain_supported'),
-chosen AS (SELECT *, row_number() OVER w AS rank, round(score - lead(score) OVER w, 6) AS margin FROM pass WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, id))
-SELECT g.item_id, reason, id, score, rank, margin, CASE WHEN id IS NULL OR score < 2.0 THEN 'abstained' WHEN margin < 0.35 THEN 'review' ELSE 'supported' END AS decision
-FROM gated g LEFT JOIN chosen b ON b.item_id = g.item_id AND b.rank <= 3""")
+num AS (SELECT id, instrument, {_NUMBER} AS article FROM legal_corpus),
+kn AS (SELECT instrument, list(article) AS known FROM num WHERE article IS NOT NULL GROUP BY 1),
+st AS (SELECT gated.*, CASE WHEN reason <> 'domain_supported' THEN reason
+        WHEN len(list_filter(articles, lambda a: NOT list_contains(coalesce(known, []), a))) > 0 THEN 'article_not_in_corpus' END AS stopped FROM gated LEFT JOIN kn ON kn.instrument = gated.instrument),
+tot AS (SELECT st.item_id, n.id, round(coalesce(s.score, 0) + 4 * coalesce(c.concepts, 0) + CASE WHEN list_contains(articles, article) THEN 12 ELSE 0 END, 6) AS score
+        FROM st JOIN num n ON n.instrument = st.instrument LEFT JOIN scores s ON s.item_id = st.item_id AND s.id = n.id LEFT JOIN con c ON c.item_id = st.item_id AND c.id = n.id WHERE stopped IS NULL),
+ord AS (SELECT *, row_number() OVER w AS rank, coalesce(lead(score) OVER w, 0) AS second, count(*) FILTER (WHERE score >= 2) OVER (PARTITION BY item_id) AS eligible FROM tot WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, id)),
+top1 AS (SELECT item_id, score AS top_score, round(score - second, 6) AS margin, eligible FROM ord WHERE rank = 1),
+dec AS (SELECT st.item_id, reason, instrument, stopped, top_score, margin, CASE WHEN stopped IS NOT NULL OR coalesce(eligible, 0) = 0 THEN 'abstained'
+        WHEN eligible > 1 AND margin < 0.35 AND len(articles) = 0 THEN 'review' ELSE 'supported' END AS status FROM st LEFT JOIN top1 ON top1.item_id = st.item_id),
+decided AS (SELECT d.item_id, reason, instrument, status, coalesce(stopped, CASE status WHEN 'abstained' THEN 'low_score' WHEN 'review' THEN 'low_ranking_margin' ELSE 'citation_supported' END) AS decision_reason,
+        CASE WHEN stopped IS NULL THEN coalesce(top_score, 0) END AS top_score, CASE WHEN stopped IS NULL THEN coalesce(margin, 0) END AS margin, id, score, CAST(rank AS INT) AS rank
+        FROM dec d LEFT JOIN ord o ON o.item_id = d.item_id AND o.rank <= 3 AND o.score >= 2 AND status <> 'abstained')"""
+
+
+@query(f"WITH {_DECIDED_SQL} SELECT * FROM decided")
 def retrieve_decisions(spark: SparkSession, d: str) -> DataFrame:
     return pipelines.retrieve(_asked(spark, d), _corpus(spark, d), "item_id", "asked")
+
+
+_JUDGED_SQL = f"""{_DECIDED_SQL},
+fd AS (SELECT item_id, any_value(status) AS status, list(id ORDER BY rank) FILTER (WHERE id IS NOT NULL) AS ids FROM decided GROUP BY 1),
+ju AS (SELECT e.*, status, coalesce(ids, []) AS ids FROM eval_items e JOIN fd ON fd.item_id = e.item_id),
+jd AS (SELECT item_id, case_type, status, case_type IN ('positive', 'distractor') AS retrieval, len(list_intersect(expected_ids, ids)) AS good,
+        list_min(list_transform(list_filter(range(1, len(ids) + 1), lambda i: list_contains(expected_ids, ids[i])), lambda i: i)) AS first,
+        CASE WHEN case_type = 'distractor' THEN len(ids) = 0 OR NOT list_contains(forbidden_ids, ids[1]) END AS rejected, len(expected_ids) AS wanted,
+        CASE WHEN expected_instrument IS NOT NULL THEN len(list_filter(ids, lambda i: split_part(i, '-', 1) <> expected_instrument)) > 0 END AS leaking,
+        len(ids) AS results, status = expected_status AS matches FROM ju),
+ev AS (SELECT count(*) AS cases, count(*) FILTER (WHERE case_type = 'positive') AS positive, count(*) FILTER (WHERE case_type = 'negative') AS negative, count(*) FILTER (WHERE case_type = 'distractor') AS distractor,
+    coalesce(round_even(avg(CASE WHEN retrieval THEN CAST(good > 0 AS INT) END), 4), 0) AS hit_rate, coalesce(round_even(avg(CASE WHEN retrieval THEN coalesce(good / nullif(wanted, 0), 0) END), 4), 0) AS recall,
+    coalesce(round_even(avg(CASE WHEN retrieval THEN coalesce(1 / first, 0) END), 4), 0) AS mrr, coalesce(round_even(avg(CASE WHEN case_type = 'positive' THEN CAST(status <> 'abstained' AS INT) END), 4), 0) AS positive_coverage,
+    coalesce(round_even(avg(CASE WHEN case_type = 'negative' THEN CAST(status = 'abstained' AS INT) END), 4), 0) AS negative_abstention, coalesce(round_even(avg(CASE WHEN case_type = 'negative' THEN CAST(status <> 'abstained' AS INT) END), 4), 0) AS false_support,
+    coalesce(round_even(avg(CAST(rejected AS INT)), 4), 0) AS distractor_rejection, coalesce(round_even(avg(CAST(leaking AS INT)), 4), 0) AS instrument_leakage,
+    CASE WHEN sum(results) > 0 THEN 1.0 ELSE 0.0 END AS trace_coverage, round_even(avg(CAST(coalesce(matches, false) AS INT)), 4) AS status_match FROM jd)"""
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.judged_cases(retrieve_decisions(spark, d), _items(spark, d), _corpus(spark, d), "item_id")
+
+
+@query(f"WITH {_JUDGED_SQL} SELECT * FROM ev")
+def retrieval_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.evaluation(_judged(spark, d))
+
+
+@query(f"""WITH {_JUDGED_SQL}, u AS (UNPIVOT (SELECT recall, negative_abstention, distractor_rejection, status_match, false_support, instrument_leakage FROM ev) ON COLUMNS(*) INTO NAME rate VALUE observed)
+SELECT rate, bound, CAST("limit" AS DOUBLE) AS "limit", observed, CASE WHEN bound = 'least' THEN observed >= "limit" ELSE observed <= "limit" END AS passed
+FROM u JOIN (VALUES ('recall', 'least', 0.75), ('negative_abstention', 'least', 0.75), ('distractor_rejection', 'least', 0.75), ('status_match', 'least', 1.0), ('false_support', 'greatest', 0.25), ('instrument_leakage', 'greatest', 0.0)) z(r, bound, "limit") ON r = rate""")
+def evaluation_acceptance(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.acceptance(retrieval.evaluation(_judged(spark, d)))
+
+
+def _term_scores(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.term_scores(_items(spark, d), retrieval.entry_fields(_corpus(spark, d)), "item_id", "query")
+
+
+@query(f"WITH {_SCORES_SQL} SELECT item_id, ts.id, field, round(sum(ts * part / wtf), 6) AS contribution FROM ts JOIN pt ON pt.id = ts.id AND pt.channel = ts.channel AND pt.term = ts.term GROUP BY ALL")
+def field_contributions(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.field_contributions(_term_scores(spark, d), "item_id")
+
+
+@query(f"WITH {_SCORES_SQL} SELECT item_id, id, row_number() OVER (PARTITION BY item_id, id ORDER BY round(ts, 6) DESC, channel, term) AS place, channel, term, round(ts, 6) AS score FROM ts")
+def term_trace(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.term_trace(_term_scores(spark, d), "item_id")

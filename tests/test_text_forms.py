@@ -15,7 +15,7 @@ def write(spark, path, name, rows, schema):
 def test_labels_of_any_letters_are_composed(spark, tmp_path):
     rows = list(enumerate(LABELS))
     write(spark, tmp_path, "candidates", [*rows, rows[0]], "cand_id long, raw_label string")
-    got = sorted(tuple(r) for r in catalogue.QUERIES["text_composed_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in catalogue.QUERIES["text_composed"](spark, str(tmp_path)).collect())
     assert got == [(i, None if x is None else " ".join(unicodedata.normalize("NFC", x).split())) for i, x in rows]
 
 
