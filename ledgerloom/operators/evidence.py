@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import small
+from ledgerloom.operators.phrases import with_phrases
 
 # Characters between a label and its value, and texts that stand for no value.
 LEADING = " \t:：=|"
@@ -37,38 +37,33 @@ def pages_of(df: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def match_labels(lines: DataFrame, labels: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, label, field, start, reason: the leading label of each line.
+def match_labels(lines: DataFrame, labels: DataFrame, keys: list[str], text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """keys, carry, label, field, start, reason: the leading label of each line; keys tell lines apart.
 
     Labels are found anywhere, in any case, at word boundaries. Of those preceded only by white space the longest wins
     (then start, then label); any other that does not lie inside the winner makes the line ambiguous. reason is null for
-    a match, else 'no configured label' or 'multiple configured labels'. labels (label, field) is a small table: a line
-    meets each of its rows once, and only hits are kept.
+    a match, else 'no configured label' or 'multiple configured labels'. All is judged within the row: a list of labels
+    that is short enough to be a literal costs no shuffle.
     """
-    terms = labels.select("label", F.col("field").alias("label_field"), F.lower("label").alias("needle")).distinct()
-    low = F.lower(F.col(text))
-    hits = (
-        lines.select(*keys, F.col(text).alias("#t"), low.alias("#low"))
-        .join(small(terms), F.expr("contains(`#low`, needle)"))
-        .withColumn("at", F.explode(_occurrences(F.col("#low"), F.col("needle"))))
-        .withColumn("size", F.length("needle"))
-        .filter(~_is_word(F.col("#low"), F.col("at") - 1) & ~_is_word(F.col("#low"), F.col("at") + F.col("size")))
-    )
-    leading = F.substring("#low", F.lit(1), F.col("at") - 1).rlike(r"^[\s\p{Z}]*$")
-    best = F.min(F.when(leading, F.struct((-F.col("size")).alias("neg"), "at", "label", "label_field")))
-    per_line = hits.groupBy(*keys).agg(best.alias("best"), F.collect_list(F.struct("at", "size")).alias("all"))
-    end = lambda h: h["at"] + h["size"]
-    inside = lambda h: (h["at"] >= F.col("best.at")) & (end(h) <= F.col("best.at") - F.col("best.neg"))
-    judged = per_line.withColumn("extra", F.exists("all", lambda h: ~inside(h)))
-    found = judged.filter("best IS NOT NULL").select(
-        *keys, F.col("best.label").alias("label"), F.col("best.label_field").alias("field"), (F.col("best.at") - 1).alias("start"), "extra"
-    )
-    joined = lines.select(*keys).join(found, keys, "left")
-    reason = F.when(F.col("label").isNull(), "no configured label").when(F.col("extra"), "multiple configured labels")
-    kept = F.col("extra") == F.lit(False)
-    return joined.select(
-        *keys, F.when(kept, F.col("label")).alias("label"), F.when(kept, F.col("field")).alias("field"), F.when(kept, F.col("start")).alias("start"), reason.alias("reason")
-    )
+    terms = labels.select("label", F.col("field").alias("label_field"), F.lower("label").alias("needle"))
+    kept = [*keys, *(c for c in carry if c not in keys)]
+    rows = lines.select(*kept, F.lower(F.col(text)).alias("#low"))
+    rows = with_phrases(rows, keys, F.col("#low"), terms, "needle", "#near")
+    place = lambda p, i: F.struct((-F.length(p["needle"])).alias("neg"), i.alias("at"), p["label"].alias("label"), p["label_field"].alias("field"))
+    alone = lambda low, p, i: ~_is_word(low, i - 1) & ~_is_word(low, i + F.length(p["needle"]))
+    spots = lambda low, p: F.filter(_occurrences(low, p["needle"]), lambda i: alone(low, p, i))
+    hits = F.transform(F.array("#low"), lambda low: F.flatten(F.transform("#near", lambda p: F.transform(spots(low, p), lambda i: place(p, i)))))[0]
+    rows = rows.withColumn("#hits", F.coalesce(hits, F.array().cast("array<struct<neg:int,at:int,label:string,field:string>>")))
+    leading = lambda h: F.substring("#low", F.lit(1), h["at"] - 1).rlike(r"^[\s\p{Z}]*$")
+    rows = rows.withColumn("#best", F.array_min(F.filter("#hits", leading)))
+    inside = lambda h: (h["at"] >= F.col("#best.at")) & (h["at"] - h["neg"] <= F.col("#best.at") - F.col("#best.neg"))
+    extra = F.exists("#hits", lambda h: ~inside(h))
+    rows = rows.withColumn("#reason", F.when(F.col("#best").isNull(), "no configured label").when(extra, "multiple configured labels"))
+    fine = F.col("#reason").isNull()
+    return rows.select(
+        *kept, F.when(fine, F.col("#best.label")).alias("label"), F.when(fine, F.col("#best.field")).alias("field"),
+        F.when(fine, F.col("#best.at") - 1).alias("start"), F.col("#reason").alias("reason"),
+    )
 
 
 def _occurrences(text: Column, needle: Column) -> Column:

@@ -24,7 +24,7 @@ def extract(documents: DataFrame, labels: DataFrame) -> Extraction:
     """Field records of nested document bundles (doc_key, case_id, document_id, document_type, pages)."""
     keys = ["doc_key", "page", "line"]
     lines = evidence.bundle_lines(documents)
-    matched = evidence.match_labels(lines, labels, keys).join(lines, keys)
+    matched = evidence.match_labels(lines, labels, keys, carry=tuple(lines.columns))
     value, begin, end = evidence.raw_value(F.col("text"), F.col("start") + F.length("label"))
     hashes = evidence.document_hashes(lines, ["doc_key"])
     hits = matched.filter("label IS NOT NULL")

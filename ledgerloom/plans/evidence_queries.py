@@ -188,7 +188,8 @@ _SPAN_SQL = """SELECT doc_key, page, line, CASE WHEN lower(value) IN ('-', 'n/a'
 
 @query(f"WITH {_MATCH_SQL}, {_VALUE_SQL} {_SPAN_SQL}")
 def raw_value_span(spark: SparkSession, d: str) -> DataFrame:
-    rows = _matched(spark, d).filter("label IS NOT NULL").join(_lines(spark, d).select("doc_key", "page", "line", "text"), ["doc_key", "page", "line"])
+    keys = ["doc_key", "page", "line"]
+    rows = evidence.match_labels(_lines(spark, d), table(spark, d, "field_labels"), keys, carry=("text",)).filter("label IS NOT NULL")
     value, start, end = evidence.raw_value(F.col("text"), F.col("start") + F.length("label"))
     return rows.select("doc_key", "page", "line", value.alias("value"), start.cast("int").alias("value_start"), end.cast("int").alias("value_end"))
 

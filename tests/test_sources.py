@@ -18,7 +18,7 @@ def test_word_table(spark, tmp_path):
     path = tmp_path / "w.tsv"
     rows = [word(1, 1, 1, 2, 90, "weight"), word(1, 1, 1, 1, 80, "Net"), word(1, 2, 1, 1, 95.5, '"a ""b"""'), word(1, 1, 1, 0, -1, "", 4), word(2, 1, 1, 1, 70, "x"), word(2, 1, 1, 2, 60, " ")]
     path.write_text("\n".join([HEADER, *rows]) + "\n")
-    got = sorted(tuple(r) for r in ocr.read_ocr(spark, str(path), "words").collect())
+    got = sorted(tuple(r) for r in ocr.read_ocr(spark, str(path), "words").drop("file").collect())
     assert [r[:3] for r in got] == [(1, 1, "Net weight"), (1, 2, 'a "b"'), (2, 1, "x")] and got[0][3] == 0.85
     path.write_text("\n".join([HEADER, rows[0], rows[0]]))
     with pytest.raises(ValueError, match="twice"):
@@ -31,7 +31,7 @@ def test_word_table(spark, tmp_path):
 def test_page_text(spark, tmp_path):
     path = tmp_path / "p.txt"
     path.write_bytes("a\r\n\r\n b\f\fc d\n".encode())
-    got = sorted(tuple(r) for r in ocr.read_pages(spark, str(path), 0.5).collect())
+    got = sorted(tuple(r) for r in ocr.read_pages(spark, str(path), 0.5).drop("file").collect())
     assert got == [(1, 1, "a", 0.5), (1, 2, " b", 0.5), (3, 1, "c d", 0.5)]
 
 
@@ -39,9 +39,9 @@ def test_json_lines(spark, tmp_path):
     path = tmp_path / "j.json"
     path.write_text(json.dumps({"pages": [{"page": 3, "lines": [{"text": "a"}, {"line": 5, "text": "b", "confidence": 80}, {"text": "c"}]}]}))
     rows = ocr.read_json_lines(spark, str(path), "percent", 0.1)
-    assert [tuple(r) for r in rows.orderBy("line").collect()] == [(3, 1, "a", 0.1), (3, 5, "b", 0.8), (3, 6, "c", 0.1)]
+    assert [tuple(r) for r in rows.drop("file").orderBy("line").collect()] == [(3, 1, "a", 0.1), (3, 5, "b", 0.8), (3, 6, "c", 0.1)]
     path.write_text(json.dumps([{"text": "a"}, {"page": 2, "text": "b"}]))
-    assert [tuple(r)[:3] for r in ocr.read_json_lines(spark, str(path)).orderBy("page").collect()] == [(1, 1, "a"), (2, 1, "b")]
+    assert [tuple(r)[:3] for r in ocr.read_json_lines(spark, str(path)).drop("file").orderBy("page").collect()] == [(1, 1, "a"), (2, 1, "b")]
     bundle = ocr.to_bundle(ocr.read_json_lines(spark, str(path)), "d", "memo", "en").first()
     assert bundle.pages[1].lines[0].text == "b"
     path.write_text(json.dumps({"pages": [{"page": 1, "lines": [{"page": 2, "text": "a"}]}]}))
@@ -51,6 +51,30 @@ def test_json_lines(spark, tmp_path):
         ocr.read_ocr(spark, str(path), "png")
 
 
+def test_folders_of_files_keep_apart(spark, tmp_path):
+    """Pages, lines and running numbers belong to a file."""
+    for name, text in (("a.txt", "one\ntwo\fthree"), ("b.txt", "four")):
+        (tmp_path / name).write_text(text)
+    rows = ocr.read_ocr(spark, str(tmp_path), "pages")
+    got = sorted((r.file.rsplit("/", 1)[1], r.page, r.line, r.text) for r in rows.collect())
+    assert got == [("a.txt", 1, 1, "one"), ("a.txt", 1, 2, "two"), ("a.txt", 2, 1, "three"), ("b.txt", 1, 1, "four")]
+    bundles = {r.document_id: [len(p.lines) for p in r.pages] for r in ocr.to_bundles(rows, "memo", "en").collect()}
+    assert bundles == {"a.txt": [2, 1], "b.txt": [1]}
+    with pytest.raises(ValueError, match="several files"):
+        ocr.to_bundle(rows, "d", "memo", "en")
+    folder = tmp_path / "json"
+    folder.mkdir()
+    for name in "xy":
+        (folder / f"{name}.json").write_text(json.dumps([{"text": "a"}, {"line": 7, "text": "b"}, {"text": "c"}]))
+    got = sorted((r.file.rsplit("/", 1)[1], r.line) for r in ocr.read_ocr(spark, str(folder), "json").collect())
+    assert got == [(f"{n}.json", k) for n in "xy" for k in (1, 7, 8)]
+    words = tmp_path / "words"
+    words.mkdir()
+    for name in "xy":
+        (words / f"{name}.tsv").write_text("\n".join([HEADER, word(1, 1, 1, 1, 80, f"Net{name}")]) + "\n")
+    assert sorted((r.page, r.line, r.text) for r in ocr.read_ocr(spark, str(words), "words").collect()) == [(1, 1, "Netx"), (1, 1, "Nety")]
+
+
 def test_running_numbers_agree_with_the_sequential_rule(spark):
     import random
 

@@ -12,7 +12,7 @@ TAKEN = [
 SIGNS = ["−", "‐", "‑", "‒", "–", "—", "－", "﹣", "➖"]
 REFUSED = [
     ".5 t", "-.5 t", "1e3 t", "1,00 t", "- 1 t", "(0.5) t", "（0.5） t", "87¹ t", "87① t", "⁸⁷ t", "<190 t", "≤190 t", "at most 190 t", "up to 190 t", "190 t 이하", "190 t 이상", "190 t max", "no less than 190 t", "at or above 190 t",
-    "not exceeding 190 t", "최대 190 t", "190을 넘지 않음 t", "상한 190 t", "minus 0.5 t", "마이너스 0.5 t", "190 thousand t", "190 k t", "19 만 t", "190 t or 191 t", "190", "t", "", "190 t/day", "190 t per day", "190 t-km", "190 us tons", "190 lb", "not 190 t", "190 t 제외", "190 kg 190 t",
+    "not exceeding 190 t", "최대 190 t", "190을 넘지 않음 t", "상한 190 t", "minus 0.5 t", "마이너스 0.5 t", "190 thousand t", "190 k t", "19 만 t", "190 t or 191 t", "190", "t", "", "190 t/day", "190 t per day", "190 t-km", "190 us tons", "190 lb", "not 190 t", "190 t 제외", "190 kg 190 t", "190 t–km", "190 t — km", "190 t ／ km", "190 t∕km", "190 t　per km",
 ]
 
 
