@@ -23,12 +23,17 @@ def strict_number(text: Column) -> tuple[Column, Column]:
     return error, F.when(strict & ~several & ~text.rlike(_BOUNDED), number)
 
 
+# Units of mass that are understood without a guess.
+KILOGRAMS, TONNES = ("kg", "kgs", "KG"), ("t", "MT", "tonnes", "톤", "metric tons")
+
+
 def to_tonnes(unit: Column, value: Column) -> tuple[Column, Column]:
-    """(transformation, tonnes): kilograms are scaled exactly, in decimals."""
-    kilograms = unit.isin("kg", "kgs", "KG")
+    """(transformation, tonnes): kilograms are scaled exactly, in decimals; any other unit is unsupported, with no value."""
+    kilograms, tonnes = unit.isin(*KILOGRAMS), unit.isin(*TONNES)
     number = value.try_cast("decimal(28,10)")
     scaled = (number * F.lit("0.001").cast("decimal(4,3)")).cast("decimal(38,13)")
-    return F.when(kilograms, "kg_to_t").otherwise("identity_tonnes"), F.when(kilograms, scaled).otherwise(number.cast("decimal(38,13)"))
+    change = F.when(kilograms, "kg_to_t").when(tonnes, "identity_tonnes").otherwise("unsupported")
+    return change, F.when(kilograms, scaled).when(tonnes, number.cast("decimal(38,13)"))
 
 
 def plain(number: Column) -> Column:

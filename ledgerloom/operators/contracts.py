@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import folded_form
+from ledgerloom.operators.evidence import BLANKS
 from ledgerloom.session import small
 
 
 def provenance_error() -> Column:
-    """The first broken link of a record's lineage, or null: all lineage fields together, spans in order, texts and hash as stated."""
+    """The first broken link of a record's lineage, or null: all lineage fields together, spans in order, label in any case
+    and value (or a mark of a blank) as stated, hash of the line as stated, hash of the document well formed."""
     s = F.col("source_span")
     fields = ("raw_line", "line_sha256", "document_sha256", "source_span")
     given = sum((F.col(c).isNotNull().cast("int") for c in fields), F.lit(0))
@@ -19,8 +21,9 @@ def provenance_error() -> Column:
     ordered = (s["alias_start"] >= 0) & (s["alias_start"] < s["alias_end"]) & (s["alias_end"] <= s["value_start"]) & (s["value_start"] <= s["value_end"]) & (s["value_end"] <= F.length("raw_line"))
     return (
         F.when(given == 0, "no_lineage").when(given < len(fields), "partial_lineage").when(~F.coalesce(ordered, F.lit(False)), "span_out_of_order")
-        .when(alias != F.col("raw_label"), "label_differs").when(value != F.col("raw_value"), "value_differs")
-        .when(F.sha2("raw_line", 256) != F.col("line_sha256"), "line_hash_differs")
+        .when(~F.lower(alias).eqNullSafe(F.lower("raw_label")), "label_differs").when((F.coalesce("raw_value", F.lit("")) != "") & (value != F.col("raw_value")), "value_differs")
+        .when((F.coalesce("raw_value", F.lit("")) == "") & ~F.lower(F.trim(value)).isin(*BLANKS), "value_not_blank")
+        .when(F.sha2("raw_line", 256) != F.col("line_sha256"), "line_hash_differs").when(~F.col("document_sha256").rlike("^[0-9a-f]{64}$"), "document_hash_malformed")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,44 +75,110 @@ def mask_scores(counts: DataFrame) -> DataFrame:
     return rows.withColumn("undefined", F.concat_ws(",", *(F.when(F.col(k).isNull(), k) for k in scores)))
 
 
-def grid_gaps(cells: DataFrame, group: str) -> DataFrame:
-    """group, row, col of the cells missing from the bounding grid of each group; the grid is generated, not joined."""
-    bounds = cells.groupBy(group).agg(*(f(c).alias(f"{n}_{c}") for c in ("row", "col") for f, n in ((F.min, "low"), (F.max, "high"))))
-    rows = bounds.withColumn("row", F.explode(F.sequence("low_row", "high_row")))
-    grid = rows.withColumn("col", F.explode(F.sequence("low_col", "high_col"))).select(group, "row", "col")
-    return grid.join(cells.select(group, "row", "col"), [group, "row", "col"], "left_anti")
+def gap_runs(cells: DataFrame, group: str) -> DataFrame:
+    """group, row, row_end, col, col_end: rectangles that cells lack of the bounding grid of their group.
+
+    Runs are found between neighbours, so that the work follows the cells and not the grid: a stray row number of a
+    thousand million is one run. Missing cells of a row are runs of one row, missing rows are runs of the whole width.
+    """
+    cells = cells.select(group, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).distinct()
+    bounds = cells.groupBy(group).agg(F.min("col").alias("low"), F.max("col").alias("high"))
+    line = Window.partitionBy(group, "row").orderBy("col")
+    rows = cells.withColumns({"next": F.lead("col").over(line), "before": F.lag("col").over(line)}).join(bounds, group)
+    run = lambda a, b: F.struct(a.alias("col"), b.alias("col_end"))
+    found = F.array(
+        F.when(F.col("before").isNull(), run(F.col("low"), F.col("col") - 1)), run(F.col("col") + 1, F.coalesce(F.col("next") - 1, F.col("high")))
+    )
+    within = rows.select(group, "row", F.col("row").alias("row_end"), F.explode(F.array_compact(found)).alias("r")).filter("r.col <= r.col_end")
+    present = cells.select(group, "row").distinct().withColumn("next", F.lead("row").over(Window.partitionBy(group).orderBy("row")))
+    absent = present.filter("next > row + 1").join(bounds, group).select(group, (F.col("row") + 1).alias("row"), (F.col("next") - 1).alias("row_end"), F.col("low").alias("col"), F.col("high").alias("col_end"))
+    return within.select(group, "row", "row_end", "r.col", "r.col_end").unionByName(absent)
 
 
-def components(cells: DataFrame, group: str, connectivity: int = 4, rounds: int = 60) -> DataFrame:
+def grid_gaps(cells: DataFrame, group: str) -> DataFrame:
+    """group, row, col of the cells missing from the bounding grid of each group: the runs, cell by cell."""
+    rows = gap_runs(cells, group).withColumn("row", F.explode(F.sequence("row", "row_end")))
+    return rows.select(group, "row", F.explode(F.sequence("col", "col_end")).alias("col"))
+
+
+#: Rows and columns of the tiles within which cells are connected at once; a task holds one tile.
+COMPONENT_TILE = 512
+
+
+def _tile_components(group: str, connectivity: int):
+    """Label of each cell of one tile: its component's first cell in the tile, by hooking and pointer jumping on arrays."""
+    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
+
+    def connect(cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values(["row", "col"], ignore_index=True)
+        row, col = cells["row"].to_numpy(), cells["col"].to_numpy()
+        r, c = row - row.min(), col - col.min() + 1
+        width = int(c.max()) + 2  # a column on either side keeps neighbours of different rows apart
+        keys = r * width + c
+        label = np.arange(len(cells))
+        here, there = [], []
+        for a, b in steps:
+            at = np.searchsorted(keys, keys + a * width + b)
+            hit = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == keys + a * width + b)
+            here.append(np.flatnonzero(hit))
+            there.append(at[hit])
+        u, v = np.concatenate(here), np.concatenate(there)
+        while len(u):
+            x, y = label[u], label[v]
+            open_ = x != y
+            if not open_.any():
+                break
+            u, v, x, y = u[open_], v[open_], x[open_], y[open_]
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            while (label[label] != label).any():
+                label = label[label]
+        return pd.DataFrame({group: cells[group], "row": row, "col": col, "first_row": row[label], "first_col": col[label]})
+
+    return connect
+
+
+def components(cells: DataFrame, group: str, connectivity: int = 4, rounds: int = 60, tile: int = COMPONENT_TILE) -> DataFrame:
     """group, row, col, region: connected cells of each group, numbered row-major by their first cell.
 
-    Labels start as packed coordinates; each round takes the least label of the neighbours, then follows the label of
-    the label (pointer jumping), so that rounds grow with the logarithm of a component's extent on plain shapes. Lineage
-    is cut in shared storage each round, and the table of the round before deleted; nothing but one count is collected. rounds bounds a runaway loop by an error.
+    Cells are connected within tiles first, a bounded piece per task, so that a large group spreads over many tasks.
+    Only cells along the borders of tiles are joined to their neighbours; the pieces so linked are merged by taking the
+    least label of the neighbours and the label of that label, in rounds that grow with the logarithm of the pieces in a
+    row. Lineage is cut in shared storage each round, and the table of the round before deleted; rounds bounds a runaway
+    loop by an error. Cells may have any row and column numbers; repeated cells count once.
     """
-    offsets = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if connectivity == 8 else [])
-    key = lambda r, c: r.cast("long") * F.lit(1 << 31) + c.cast("long")
-    base = cells.select(group, "row", "col").distinct().withColumn("k", key(F.col("row"), F.col("col")))
+    kind = cells.schema[group].dataType.simpleString()
+    base = cells.select(group, F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).distinct()
+    tiled = base.withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
+    schema = f"`{group}` {kind}, row long, col long, first_row long, first_col long"
+    local = tiled.groupBy(group, "tr", "tc").applyInPandas(_tile_components(group, connectivity), schema)
+    first = F.struct(F.col("first_row").alias("row"), F.col("first_col").alias("col"))
+    pieces = materialise(local.select(group, "row", "col", first.alias("piece")), "pieces")
+    # Border cells meet their neighbours in other tiles; each link of two pieces once.
+    offsets = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
+    edge_r, edge_c = F.pmod("row", F.lit(tile)), F.pmod("col", F.lit(tile))
+    border = pieces.filter((edge_r == 0) | (edge_r == tile - 1) | (edge_c == 0) | (edge_c == tile - 1))
     around = F.array(*(F.struct((F.col("row") + a).alias("r"), (F.col("col") + b).alias("c")) for a, b in offsets))
-    reach = base.withColumn("n", F.explode(around)).select(group, "k", key(F.col("n.r"), F.col("n.c")).alias("to"))
-    edges = materialise(reach.join(base.select(group, F.col("k").alias("to")), [group, "to"]), "edges")
-    written = materialise(base.withColumn("label", F.col("k")), "labels")
-    labels = written
-    for _ in range(rounds):
-        near = edges.join(labels.select(group, F.col("k").alias("to"), F.col("label").alias("theirs")), [group, "to"]).groupBy(group, "k").agg(F.min("theirs").alias("near"))
-        lower = labels.join(near, [group, "k"], "left").withColumn("lower", F.least("label", "near"))
-        jump = labels.select(group, F.col("k").alias("lower"), F.col("label").alias("jumped"))
-        stepped = lower.join(jump, [group, "lower"], "left").withColumn("fresh", F.least("lower", "jumped"))
-        updated = materialise(stepped.select(group, "row", "col", "k", F.col("fresh").alias("label"), (F.col("fresh") != F.col("label")).alias("moved")), "labels")
-        discard(written)  # the new table stands alone
-        written, labels = updated, updated.drop("moved")
-        if updated.filter("moved").limit(1).count() == 0:
+    reach = border.select(group, F.col("piece").alias("a"), F.explode(around).alias("n")).select(group, "a", F.col("n.r").alias("row"), F.col("n.c").alias("col"))
+    links = reach.join(border.select(group, "row", "col", F.col("piece").alias("b")), [group, "row", "col"]).filter("a <> b").select(group, "a", "b").distinct()
+    edges = materialise(links.union(links.select(group, "b", "a")).distinct(), "links")
+    label = materialise(edges.select(group, F.col("a").alias("piece")).distinct().withColumn("label", F.col("piece")), "labels")
+    for _ in range(rounds if edges.limit(1).count() else 0):
+        theirs = label.select(group, F.col("piece").alias("b"), F.col("label").alias("theirs"))
+        near = edges.join(theirs, [group, "b"]).groupBy(group, F.col("a").alias("piece")).agg(F.min("theirs").alias("near"))
+        lower = label.join(near, [group, "piece"]).select(group, "piece", "label", F.least("label", "near").alias("lower"))
+        jump = label.select(group, F.col("piece").alias("lower"), F.col("label").alias("jumped"))
+        stepped = lower.join(jump, [group, "lower"], "left").select(group, "piece", F.least("lower", "jumped").alias("fresh"), "label")
+        updated = materialise(stepped.select(group, "piece", F.col("fresh").alias("label"), (F.col("fresh") != F.col("label")).alias("moved")), "labels")
+        discard(label)
+        label = updated
+        if label.filter("moved").limit(1).count() == 0:
             break
     else:
-        raise RuntimeError("components did not settle; raise rounds")
-    first = labels.select(group, "label").distinct()
-    numbered = first.withColumn("region", F.row_number().over(Window.partitionBy(group).orderBy("label")))
-    return labels.join(numbered, [group, "label"]).select(group, "row", "col", "region")
+        if edges.limit(1).count():
+            raise RuntimeError("components did not settle; raise rounds")
+    merged = pieces.join(label.select(group, "piece", "label"), [group, "piece"], "left").select(group, "row", "col", F.coalesce("label", "piece").alias("label"))
+    numbered = merged.select(group, "label").distinct().withColumn("region", F.row_number().over(Window.partitionBy(group).orderBy("label")))
+    return merged.join(numbered, [group, "label"]).select(group, "row", "col", "region")
 
 
 def day_gap(a: Column, b: Column) -> Column:

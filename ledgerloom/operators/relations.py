@@ -82,6 +82,21 @@ def replay(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: f
     )
 
 
+def replay_arrays(a: DataFrame, b: DataFrame, keys: list[str], values: str, tolerance: float) -> DataFrame:
+    """replay of keyed arrays of numbers, element by element: one row per key is joined, not one per element."""
+    x, y = F.col("#x"), F.col("#y")
+    joined = a.select(*keys, F.col(values).alias("#x")).join(b.select(*keys, F.col(values).alias("#y")), keys, "full")
+    gaps = F.zip_with(F.coalesce(x, F.array().cast("array<double>")), F.coalesce(y, F.array().cast("array<double>")), lambda p, q: F.abs(p - q))
+    per = joined.select(gaps.alias("g")).select(
+        F.size("g").alias("n"), F.size(F.filter("g", lambda v: v.isNull())).alias("unpaired"), F.array_max("g").alias("largest"),
+        F.aggregate("g", F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0))).alias("sum"), F.forall("g", lambda v: F.coalesce(v <= tolerance, F.lit(False))).alias("within"),
+    )
+    return per.agg(
+        F.sum("n").alias("rows"), F.sum("unpaired").alias("unpaired"), F.round(F.max("largest"), 6).alias("largest"),
+        F.round(F.try_divide(F.sum("sum"), F.sum(F.col("n") - F.col("unpaired"))), 6).alias("mean"), F.bool_and("within").alias("within"),
+    )
+
+
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """rule, violations: all rules counted in one pass; a rule that is null for a row is violated."""
     counts = df.agg(*(F.count_if(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()))

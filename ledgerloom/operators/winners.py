@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import BROADCAST_ROWS, small
+from ledgerloom.session import BROADCAST_ROWS, materialise, small
 
 
 def latest_delivery(df: DataFrame, key: str, delivered: str) -> DataFrame:
@@ -28,15 +28,33 @@ def fallback_rank(df: DataFrame, authority: DataFrame, field: str, kind: str, de
     return joined.withColumn("rank", F.coalesce("#own", "#general", F.lit(default))).drop("#f", "#t", "#own", "#g", "#general")
 
 
-def ranked(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
-    """Every row with its position in its group, whether it is selected, and the number of candidates."""
+#: Rows of the largest group that one task sorts by itself; larger groups are spread over tasks by range.
+GROUP_ROWS = 1_000_000
+
+
+def ranked(df: DataFrame, group: list[str], order: list[Column], group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Every row with its position in its group, whether it is selected, and the number of candidates.
+
+    order must tell the rows of a group apart. Where a group has more than group_rows rows (pre-aggregated counts tell),
+    rows are placed by range of group and order, so that a hot group spreads over many tasks; a row's position is then
+    that within its part and the rows of the parts before. Both ways give the same rows.
+    """
+    largest = df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     whole = Window.partitionBy(*group)
-    return df.withColumns(
-        {
-            "position": F.row_number().over(whole.orderBy(*order)),
-            "candidates": F.count(F.lit(1)).over(whole),
-        }
-    ).withColumn("selected", F.col("position") == 1)
+    if largest <= group_rows:
+        placed = df.withColumns({"position": F.row_number().over(whole.orderBy(*order)), "candidates": F.count(F.lit(1)).over(whole)})
+        return placed.withColumn("selected", F.col("position") == 1)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(df.repartitionByRange(parts, *group, *order).withColumn("#part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("#part", *group).agg(F.count("*").alias("#n"))
+    before = whole.orderBy("#part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part of a group
+    offsets = sizes.select(
+        F.col("#part").alias("#p"), *(F.col(g).alias(f"#{g}") for g in group), F.coalesce(F.sum("#n").over(before), F.lit(0)).alias("#before"), F.sum("#n").over(whole).alias("candidates")
+    )
+    same = [F.col("#part") == F.col("#p"), *(F.col(g).eqNullSafe(F.col(f"#{g}")) for g in group)]
+    inner = ranged.withColumn("#k", F.row_number().over(Window.partitionBy("#part", *group).orderBy(*order)))
+    joined = inner.join(offsets, same).withColumn("position", (F.col("#k") + F.col("#before")).cast("int"))
+    return joined.select(*df.columns, "position", "candidates", (F.col("position") == 1).alias("selected"))
 
 
 def winners(df: DataFrame, group: list[str], order: Column, columns: list[str]) -> DataFrame:
@@ -44,25 +62,31 @@ def winners(df: DataFrame, group: list[str], order: Column, columns: list[str])
     return df.groupBy(*group).agg(F.max_by(F.struct(*columns), order).alias("r"), F.count("*").alias("candidates")).select(*group, "r.*", "candidates")
 
 
-def conflicts(df: DataFrame, group: list[str], order: list[Column], value: str, tolerance: Column) -> DataFrame:
-    """Per group: material and equivalent alternatives to the winning value.
+def alternatives(df: DataFrame, group: list[str], order: Column, key: str, value: str, tolerance: Column) -> DataFrame:
+    """group, key, value, winner, difference, kind of every row whose value is another than the winner's.
 
-    Text equal to the winner's is no alternative; a numeric difference within tolerance is equivalent; a difference
-    beyond it, or between texts that are no numbers, is material. Groups without a valid winner have none of either.
+    kind is equivalent for a numeric difference within tolerance, else material (also between texts that are no
+    numbers). Winners are found by aggregation and joined back, so that a hot group is never sorted in one task. Groups
+    whose winner has no value have no alternatives; rows without a value are none.
     """
-    w = Window.partitionBy(*group).orderBy(*order)
-    all_rows = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = df.withColumns({"winner": F.first(value).over(all_rows), "n": F.row_number().over(w)})
-    number = lambda c: F.expr(f"try_cast({c} AS DECIMAL(28,10))")
+    best = df.groupBy(*group).agg(F.max_by(value, order).alias("winner"))
+    same = [F.col(g).eqNullSafe(F.col(f"#{g}")) for g in group]
+    joined = df.join(best.select(*(F.col(g).alias(f"#{g}") for g in group), "winner"), same)
+    number = lambda c: F.expr(f"try_cast(`{c}` AS DECIMAL(28,10))")
     difference = F.abs(number(value) - number("winner"))
-    other = (F.col("n") > 1) & F.col(value).isNotNull() & F.col("winner").isNotNull() & (F.col(value) != F.col("winner"))
-    close = F.coalesce(difference <= tolerance, F.lit(False))
-    return rows.groupBy(*group).agg(
-        F.count("*").alias("candidates"),
-        F.count_if(other & ~close).alias("material"),
-        F.count_if(other & close).alias("equivalent"),
-        F.max(F.when(other, difference)).cast("double").alias("largest_difference"),
+    kind = F.when(F.coalesce(difference <= tolerance, F.lit(False)), "equivalent").otherwise("material")
+    return joined.filter(F.col(value) != F.col("winner")).select(*group, key, value, "winner", difference.alias("difference"), kind.alias("kind"))
+
+
+def conflicts(df: DataFrame, group: list[str], order: Column, key: str, value: str, tolerance: Column) -> DataFrame:
+    """Per group: candidates, numbers of material and equivalent alternatives to the winning value, and the largest difference."""
+    kinds = alternatives(df, group, order, key, value, tolerance).groupBy(*group).agg(
+        F.count_if(F.col("kind") == "material").alias("m"), F.count_if(F.col("kind") == "equivalent").alias("e"), F.max("difference").cast("double").alias("largest_difference")
     )
+    counts = df.groupBy(*group).agg(F.count("*").alias("candidates"))
+    same = [F.col(g).eqNullSafe(F.col(f"#{g}")) for g in group]
+    joined = counts.join(kinds.select(*(F.col(g).alias(f"#{g}") for g in group), "m", "e", "largest_difference"), same, "left")
+    return joined.select(*group, "candidates", F.coalesce("m", F.lit(0)).alias("material"), F.coalesce("e", F.lit(0)).alias("equivalent"), "largest_difference")
 
 
 def required_ledger(entities: DataFrame, required: DataFrame, present: DataFrame, entity: str, item: str) -> DataFrame:
@@ -75,7 +99,8 @@ def required_ledger(entities: DataFrame, required: DataFrame, present: DataFrame
     return needed.join(have, [entity, item], "left").fillna(False, ["passed"])
 
 
-def rederived(stored: DataFrame, group: list[str], order: list[Column], position: str) -> DataFrame:
-    """Rows and mismatches of stored positions against positions derived again."""
-    again = stored.withColumn("again", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    return again.agg(F.count("*").alias("records"), F.count_if(F.col("again") != F.col(position)).alias("mismatches"))
+def rederived(stored: DataFrame, source: DataFrame, group: list[str], order: list[Column], key: str, column: str) -> DataFrame:
+    """group, key, stored, derived of every row whose stored position is not the one derived from source, or is on one side only."""
+    again = ranked(source, group, order).select(*group, key, F.col("position").alias("derived"))
+    joined = stored.select(*group, key, F.col(column).alias("stored")).join(again, [*group, key], "full")
+    return joined.filter(~F.col("stored").eqNullSafe(F.col("derived")))

@@ -21,9 +21,10 @@ _ORDER = evidence._ORDER_SQL
     FROM candidates ORDER BY cand_id, ingested_at DESC),
 e AS (SELECT CASE WHEN given = 0 THEN 'no_lineage' WHEN given < 4 THEN 'partial_lineage'
     WHEN NOT coalesce(s.alias_start >= 0 AND s.alias_start < s.alias_end AND s.alias_end <= s.value_start AND s.value_start <= s.value_end AND s.value_end <= length(raw_line), false) THEN 'span_out_of_order'
-    WHEN substr(raw_line, s.alias_start + 1, s.alias_end - s.alias_start) <> raw_label THEN 'label_differs'
-    WHEN substr(raw_line, s.value_start + 1, s.value_end - s.value_start) <> raw_value THEN 'value_differs'
-    WHEN sha256(raw_line) <> line_sha256 THEN 'line_hash_differs' END AS error FROM r)
+    WHEN lower(substr(raw_line, s.alias_start + 1, s.alias_end - s.alias_start)) IS DISTINCT FROM lower(raw_label) THEN 'label_differs'
+    WHEN coalesce(raw_value, '') <> '' AND substr(raw_line, s.value_start + 1, s.value_end - s.value_start) <> raw_value THEN 'value_differs'
+    WHEN coalesce(raw_value, '') = '' AND lower(trim(substr(raw_line, s.value_start + 1, s.value_end - s.value_start))) NOT IN ('-', 'n/a', '[blank]', '공란', '') THEN 'value_not_blank'
+    WHEN sha256(raw_line) <> line_sha256 THEN 'line_hash_differs' WHEN NOT regexp_full_match(document_sha256, '[0-9a-f]{64}') THEN 'document_hash_malformed' END AS error FROM r)
 SELECT coalesce(error, 'none') AS error, count(*) AS records FROM e GROUP BY 1""")
 def provenance_errors(spark: SparkSession, d: str) -> DataFrame:
     once = winners.latest_delivery(table(spark, d, "candidates"), "cand_id", "ingested_at")
@@ -108,7 +109,7 @@ def issue_ledger(spark: SparkSession, d: str) -> DataFrame:
     )
     per_record = raw.select("case_id", F.explode(codes).alias("code"))
     ranks = evidence._ranks(spark, d).withColumn("v", F.when(F.col("valid"), F.col("normalized_value")))
-    split = winners.conflicts(ranks, ["case_id", "field"], evidence._order(), "v", F.lit(0.1).cast("decimal(4,2)"))
+    split = winners.conflicts(ranks, ["case_id", "field"], evidence._best(), "cand_id", "v", F.lit(0.1).cast("decimal(4,2)"))
     fine = ranks.groupBy("case_id", "field").agg(F.bool_or("valid").alias("any_valid"))
     groups = split.join(fine, ["case_id", "field"])
     group_codes = F.array_compact(

@@ -105,6 +105,16 @@ def grid_completeness(spark: SparkSession, d: str) -> DataFrame:
     return raster.grid_gaps(_pixels(spark, d), "scene_id")
 
 
+@query(f"""WITH {_PIXELS_SQL}, k AS (SELECT DISTINCT scene_id, row, col FROM x), b AS (SELECT scene_id, min(col) AS lo, max(col) AS hi FROM k GROUP BY 1),
+r AS (SELECT k.*, lo, hi, lead(col) OVER w AS nx, lag(col) OVER w AS pv FROM k JOIN b ON b.scene_id = k.scene_id WINDOW w AS (PARTITION BY k.scene_id, row ORDER BY col)),
+m AS (SELECT DISTINCT scene_id, row FROM k), q AS (SELECT *, lead(row) OVER (PARTITION BY scene_id ORDER BY row) AS nr FROM m)
+SELECT scene_id, row, row AS row_end, lo AS col, col - 1 AS col_end FROM r WHERE pv IS NULL AND col > lo
+UNION ALL SELECT scene_id, row, row, col + 1, coalesce(nx - 1, hi) FROM r WHERE col + 1 <= coalesce(nx - 1, hi)
+UNION ALL SELECT q.scene_id, row + 1, nr - 1, lo, hi FROM q JOIN b ON b.scene_id = q.scene_id WHERE nr > row + 1""")
+def grid_gap_runs(spark: SparkSession, d: str) -> DataFrame:
+    return raster.gap_runs(_pixels(spark, d), "scene_id")
+
+
 @query(f"""WITH RECURSIVE {_PIXELS_SQL}, c AS MATERIALIZED (SELECT scene_id, row, col FROM x WHERE loss),
 t AS (SELECT scene_id, row, col, row AS r0, col AS c0 FROM c
       UNION SELECT n.scene_id, n.row, n.col, t.r0, t.c0 FROM t JOIN c n ON n.scene_id = t.scene_id AND abs(n.row - t.row) + abs(n.col - t.col) = 1),
@@ -157,9 +167,8 @@ def seasonal_pair(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_PIXELS_SQL} (SELECT scene_id, row, col, 'both' AS part FROM x WHERE loss INTERSECT SELECT scene_id, row, col, 'both' FROM x WHERE reference) UNION ALL (SELECT scene_id, row, col, 'only_predicted' FROM x WHERE loss EXCEPT SELECT scene_id, row, col, 'only_predicted' FROM x WHERE reference)")
 def set_difference_masks(spark: SparkSession, d: str) -> DataFrame:
-    rows = _pixels(spark, d).select("scene_id", "row", "col", "loss", "reference")
-    predicted, reference = (rows.filter(c).select("scene_id", "row", "col") for c in ("loss", "reference"))
-    return predicted.intersect(reference).withColumn("part", F.lit("both")).union(predicted.subtract(reference).withColumn("part", F.lit("only_predicted")))
+    part = F.when(F.col("reference"), "both").otherwise("only_predicted")
+    return _pixels(spark, d).filter("loss").select("scene_id", "row", "col", part.alias("part"))  # both flags stand in one row
 
 
 @query(f"""WITH {_PIXELS_SQL} SELECT s.crs, count(*) AS pixels, count(*) FILTER (WHERE valid) AS valid FROM x JOIN scenes s ON s.scene_id = x.scene_id GROUP BY 1""")

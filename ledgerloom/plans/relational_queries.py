@@ -50,10 +50,20 @@ def weighted_intensity(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d).groupBy("p_brand").agg(relations.weighted_mean("l_extendedprice", "l_quantity").alias("intensity"))
 
 
-@query(f"""WITH {_INVENTORY_SQL}
-SELECT count(*) AS steps, CAST(count(*) FILTER (WHERE level < 3) AS BIGINT) AS edges, CAST(0 AS BIGINT) AS dangling, CAST(0 AS BIGINT) AS wrong_sums FROM inv""")
+# A stored calculation as it might have been damaged: sums of one flag of some brands are off by 1, other brands' steps are gone.
+_OFF, _GONE = "level = 0 AND l_returnflag = 'A' AND p_brand LIKE '%3'", "level = 1 AND p_brand LIKE '%5'"
+
+
+@query(f"""WITH {_INVENTORY_SQL}, s AS (
+    SELECT CASE level WHEN 0 THEN 'sum/' || p_brand || '/' || l_returnflag WHEN 1 THEN 'sum/' || p_brand ELSE 'sum' END AS id, CASE level WHEN 0 THEN 'sum/' || p_brand WHEN 1 THEN 'sum' END AS up,
+           CASE WHEN {_OFF} THEN amount + 1 ELSE amount END AS amount FROM inv WHERE NOT coalesce({_GONE}, false)),
+b AS (SELECT up, sum(amount) AS below, count(*) AS n FROM s WHERE up IS NOT NULL GROUP BY 1)
+SELECT count(s.id) AS steps, CAST(coalesce(sum(n), 0) AS BIGINT) AS edges, CAST(coalesce(sum(n) FILTER (WHERE s.id IS NULL), 0) AS BIGINT) AS dangling,
+    count(*) FILTER (WHERE s.id IS NOT NULL AND below <> amount) AS wrong_sums FROM s FULL JOIN b ON b.up = s.id""")
 def trace_topology(spark: SparkSession, d: str) -> DataFrame:
-    return relations.trace_check(relations.trace_steps(_levels(spark, d), "p_brand", "l_returnflag"))
+    """What the check finds in a calculation graph that was damaged after it had been stored."""
+    levels = _levels(spark, d).filter(f"NOT coalesce({_GONE}, false)").withColumn("amount", F.expr(f"CASE WHEN {_OFF} THEN amount + 1 ELSE amount END"))
+    return relations.trace_check(relations.trace_steps(levels, "p_brand", "l_returnflag"))
 
 
 @query(f"""WITH a AS (SELECT p_brand, sum({_AMOUNT}) AS actual, sum(CAST(p_retailprice * l_quantity AS DECIMAL(24,4))) AS standard FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1)
@@ -92,7 +102,10 @@ def channel_norm(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_DIM_SQL} SELECT vec_id, CAST(dim // 8 AS INT) AS block, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM e GROUP BY 1, 2")
 def block_mean(spark: SparkSession, d: str) -> DataFrame:
-    return _dims(spark, d).groupBy("vec_id", F.expr("dim div 8").cast("int").alias("block")).agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    rows = table(spark, d, "embeddings").withColumn("block", F.explode(F.sequence(F.lit(0), F.expr("(size(embedding) - 1) div 8").cast("int"))))
+    part = F.slice("embedding", F.col("block") * 8 + 1, F.lit(8))
+    mean = F.aggregate(part, F.lit(0.0), lambda s, x: s + x.cast("double"), lambda s: s / F.size(part))
+    return rows.select("vec_id", "block", F.round(mean, 6).alias("mean"))
 
 
 @query(f"""WITH {_DIM_SQL}, p AS (SELECT a.vec_id, CAST(a.x AS DOUBLE) AS x, CAST(b.x AS DOUBLE) AS y, t FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND b.dim = a.dim, unnest(range(8)) AS s(t))
@@ -106,13 +119,15 @@ def lerp_path(spark: SparkSession, d: str) -> DataFrame:
     return steps.select("vec_id", "step", F.round(norm, 5).alias("norm"))
 
 
-@query(f"""WITH {_DIM_SQL}, g AS (SELECT abs(round(CAST(x AS DOUBLE), 4) - round(CAST(x AS DOUBLE), 3)) AS gap FROM e)
-SELECT count(*) AS rows, CAST(0 AS BIGINT) AS unpaired, round(max(gap), 6) AS largest, round(avg(gap), 6) AS mean, bool_and(gap <= 0.001) AS within FROM g""")
+# A replay as it might have gone wrong: some vectors are missing, one value of others is off.
+@query(f"""WITH {_DIM_SQL}, g AS (SELECT CAST(x AS DOUBLE) AS x, CASE WHEN vec_id % 101 = 3 THEN NULL WHEN vec_id % 50 = 7 AND dim = 5 THEN round(CAST(x AS DOUBLE), 3) + 0.25 ELSE round(CAST(x AS DOUBLE), 3) END AS y FROM e)
+SELECT count(*) AS rows, count(*) FILTER (WHERE y IS NULL) AS unpaired, round(max(abs(x - y)), 6) AS largest, round(avg(abs(x - y)), 6) AS mean, bool_and(coalesce(abs(x - y) <= 0.001, false)) AS within FROM g""")
 def replay_tolerance(spark: SparkSession, d: str) -> DataFrame:
-    x = F.col("x").cast("double")
-    fine = _dims(spark, d).select("vec_id", "dim", F.round(x, 4).alias("x"))
-    coarse = _dims(spark, d).select("vec_id", "dim", F.round(x, 3).alias("x"))
-    return relations.replay(fine, coarse, ["vec_id", "dim"], "x", 0.001)
+    """What comparing embeddings with a damaged replay of them finds; arrays are compared within their row."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    off = lambda x, i: F.round(x, 3) + F.when((F.col("vec_id") % 50 == 7) & (i == 5), 0.25).otherwise(0.0)
+    replayed = rows.filter("vec_id % 101 <> 3").select("vec_id", F.transform("x", off).alias("x"))
+    return relations.replay_arrays(rows, replayed, ["vec_id"], "x", 0.001)
 
 
 @query("""SELECT DISTINCT a.source FROM documents a WHERE a.source IS NOT NULL AND ascii(right(sha256(coalesce(a.case_id, '')), 1)) % 4 = 0
@@ -171,5 +186,5 @@ def scene_id_parse(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def byte_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """file, bytes, sha256 of the reference tables' files."""
-    return manifests.byte_manifest(spark, [f"{d}/{t}.parquet" for t in ("field_labels", "legal_corpus", "mix_targets", "scenes", "source_authority", "region", "nation")])
+    """file, bytes, sha256 of the files of all tables."""
+    return manifests.byte_manifest(spark, [d])

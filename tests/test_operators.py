@@ -99,3 +99,52 @@ def test_plans_stay_in_the_jvm(spark, small_data, name):
 
     plan = catalogue.QUERIES[name](spark, small_data)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InPandas" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("connectivity", [4, 8])
+def test_components_across_tiles(spark, connectivity):
+    """Pieces of tiles are merged along borders: the same regions for any tile, and for row numbers of any size."""
+    rng = random.Random(connectivity)
+    cells = {(r, c) for r in range(20) for c in range(20) if rng.random() < 0.6} | {(r, 10) for r in range(20)}
+    far = 2**40
+    rows = [("s", r, c) for r, c in cells] + [("t", r + far, c + far) for r, c in cells] + [("s", 0, 0), ("s", 0, 0)]
+    cells.add((0, 0))
+    df = spark.createDataFrame(rows, "scene string, row long, col long")
+    whole = {(r.scene, r.row, r.col): r.region for r in raster.components(df, "scene", connectivity).collect()}
+    tiled = {(r.scene, r.row, r.col): r.region for r in raster.components(df, "scene", connectivity, tile=3).collect()}
+    assert whole == tiled and len([k for k in whole if k[0] == "s"]) == len(cells)
+
+
+def test_gap_runs_agree_with_the_grid(spark):
+    rng = random.Random(4)
+    cells = {(g, r, c) for g in "ab" for r in range(9) for c in range(7) if rng.random() < 0.5 and r not in (3, 4)}
+    df = spark.createDataFrame(sorted(cells), "scene string, row long, col long")
+    got = sorted(tuple(r) for r in raster.grid_gaps(df, "scene").collect())
+    want = []
+    for g in "ab":
+        own = [(r, c) for x, r, c in cells if x == g]
+        rows, cols = [r for r, _ in own], [c for _, c in own]
+        want += [(g, r, c) for r in range(min(rows), max(rows) + 1) for c in range(min(cols), max(cols) + 1) if (g, r, c) not in cells]
+    assert got == sorted(want)
+    stray = spark.createDataFrame([("a", 0, 0), ("a", 10**9, 1)], "scene string, row long, col long")
+    assert sorted(tuple(r)[1:] for r in raster.gap_runs(stray, "scene").collect()) == [(0, 0, 1, 1), (1, 10**9 - 1, 0, 1), (10**9, 10**9, 0, 0)]
+
+
+def test_large_groups_are_ranked_by_range(spark):
+    """Spread over tasks or not, positions are the same; null groups are groups."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.randint(0, 50), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, v int, i int")
+    order = [F.col("v").desc(), F.col("i").asc()]
+    one, many = (sorted((tuple(r) for r in winners.ranked(df, ["g"], order, n).collect()), key=str) for n in (10**6, 10))
+    assert one == many
+    for g in ("hot", "b", None):
+        want = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [r[2] for r in sorted((r for r in one if r[0] == g), key=lambda r: r[3])] == [r[2] for r in want]
+
+
+def test_alternatives_are_material_or_equivalent(spark):
+    rows = [("c", 1, "5.0", 9), ("c", 2, "5.05", 8), ("c", 3, "5", 7), ("c", 4, "x", 6), ("c", 5, None, 5), ("c", 6, "7", 4), (None, 7, "1", 1), (None, 8, "1", 0), ("e", 9, None, 1), ("e", 10, "3", 0)]
+    df = spark.createDataFrame(rows, "g string, k int, v string, o int")
+    got = {r.k: (r.kind, None if r.difference is None else float(r.difference)) for r in winners.alternatives(df, ["g"], F.col("o"), "k", "v", F.lit(0.1).cast("decimal(4,2)")).collect()}
+    assert got == {2: ("equivalent", 0.05), 3: ("equivalent", 0.0), 4: ("material", None), 6: ("material", 2.0)}
