@@ -122,13 +122,14 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def strict_values(df: DataFrame, key: str, value: str) -> DataFrame:
-    """key, field, value, unit, transformation, error of rows with a field and a raw value.
+def strict_values(df: DataFrame, key: str, value: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, field, value, unit, transformation, error, carry of rows with a field and a raw value.
 
     A rejected value is null with the transformation parse_failed and the first reason; numbers are decimals of 18
     digits after the point as canonical text. Fields that no rule knows are rejected as unknown_field.
     """
-    raw = df.select(key, "field", F.coalesce(value, F.lit("")).alias("raw"), _kind().alias("kind"))
+    carried = F.struct(*carry) if carry else F.lit(None)
+    raw = df.select(key, "field", F.coalesce(value, F.lit("")).alias("raw"), _kind().alias("kind"), carried.alias("#carried"))
     rows = raw.withColumn("view", _beyond_ascii(numeric_view, F.col("raw")))
     number = F.col("kind").isin("mass", "intensity", "price", "ratio", "energy", "gas")
     tokens = _all(F.col("view"), _TOKEN)
@@ -172,9 +173,9 @@ def strict_values(df: DataFrame, key: str, value: str) -> DataFrame:
         .when((squeezed == "") | (F.col("kind") == "reference"), "trim_blank_to_null").otherwise("trim_and_uppercase")
     )
     common = F.create_map(*(F.lit(x) for pair in _COMMON.items() for x in pair))
-    judged = rows.select(key, "field", error.alias("error"), taken.alias("taken"), common[F.col("kind")].alias("common"), change.alias("change"))
+    judged = rows.select("#carried", key, "field", error.alias("error"), taken.alias("taken"), common[F.col("kind")].alias("common"), change.alias("change"))
     fine = F.col("error").isNull()
     return judged.select(
         key, "field", F.when(fine, F.nullif("taken", F.lit(""))).alias("value"), F.when(fine, F.col("common")).alias("unit"),
-        F.when(fine, F.col("change")).otherwise("parse_failed").alias("transformation"), "error",
+        F.when(fine, F.col("change")).otherwise("parse_failed").alias("transformation"), "error", *(F.col(f"#carried.{c}").alias(c) for c in carry),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import folded_form
-from ledgerloom.operators.evidence import BLANKS
+from ledgerloom.operators.evidence import BLANKS, document_hashes
 from ledgerloom.session import small
 
 
@@ -60,3 +60,20 @@ def alias_errors(corpus: DataFrame) -> DataFrame:
     plain = aliases.select("id", "concept", folded_form(F.col("a")).alias("alias"))
     counts = plain.groupBy("id", "alias").agg(F.countDistinct("concept").alias("concepts"))
     return counts.filter((F.col("alias") == "") | (F.col("concepts") > 1)).select("id", "alias")
+
+
+def document_errors(lines: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, error of documents that their lines do not reproduce: another number of lines than stated, a line that is
+    malformed (numbers from 1, a text, a confidence within 0 to 1) or occurs twice, or another content hash.
+
+    lines has keys, page, line, text, confidence; manifest has keys, lines, sha256.
+    """
+    fine = (F.col("page") >= 1) & (F.col("line") >= 1) & F.col("text").isNotNull() & F.col("confidence").between(0, 1) & ~F.isnan("confidence")
+    shape = lines.groupBy(*keys).agg(F.count_if(~F.coalesce(fine, F.lit(False))).alias("#bad"), (F.count("*") - F.countDistinct("page", "line")).alias("#twice"))
+    again = document_hashes(lines, keys).select(*keys, F.col("lines").alias("#lines"), F.col("sha256").alias("#sha")).join(shape, keys)
+    error = (
+        F.when(F.col("#lines").isNull() | (F.col("#lines") != F.col("lines")), "line_count_differs").when(F.col("#bad") > 0, "malformed_line")
+        .when(F.col("#twice") > 0, "line_repeated").when(F.col("#sha") != F.col("sha256"), "content_differs")
+    )
+    joined = manifest.select(*keys, "lines", "sha256").join(again, keys, "left")
+    return joined.select(*keys, error.alias("error")).filter("error IS NOT NULL")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import contracts, winners
+from ledgerloom.operators import contracts, normalisation, pipelines, winners
 from ledgerloom.plans import evidence_queries as evidence
 from ledgerloom.plans import retrieval_queries as retrieval
 from ledgerloom.plans.registry import Registry
@@ -134,3 +134,75 @@ def label_assignment(spark: SparkSession, d: str) -> DataFrame:
     free = F.when(F.col("field").isNull(), "free").otherwise("field_without_label")
     state = F.when(F.col("expected").isNull(), free).when(F.col("field").isNull(), "unassigned").when(F.col("field") == F.col("expected"), "assigned").otherwise("differs")
     return rows.groupBy(state.alias("state")).agg(F.count("*").alias("records"))
+
+
+# Tolerances of a policy on the test tables, and fields that a case must have.
+TOLERANCES = {"shipment_mass_t": "0.1", "actual_intensity_tco2e_per_t": "0.001"}
+REQUIRED = ("shipment_mass_t", "cn_code", "actual_intensity_tco2e_per_t", "verification_reference")
+
+
+def _policy(spark: SparkSession, d: str) -> normalisation.Policy:
+    """The policy that the table of authorities states (a curated list), with the tolerances above."""
+    general, by_field = {}, {f: {} for f in TOLERANCES}
+    for r in table(spark, d, "source_authority").filter("document_type IS NOT NULL").limit(10_001).collect():
+        (general if r.field is None else by_field.setdefault(r.field, {}))[r.document_type] = r.authority_rank
+    return normalisation.Policy("test tables", 10, general, by_field, TOLERANCES)
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    once = winners.latest_delivery(table(spark, d, "candidates"), "cand_id", "ingested_at")
+    return once.withColumnRenamed("record_id", "stated_id").withColumn("record_id", F.col("cand_id"))
+
+
+def _normalised(spark: SparkSession, d: str) -> normalisation.Normalised:
+    return normalisation.normalise(_records(spark, d), table(spark, d, "field_labels"), _policy(spark, d), list(REQUIRED))
+
+
+@query()
+def normalize_records(spark: SparkSession, d: str) -> DataFrame:
+    """The selected value of every case and field, parsed from the raw text by strict rules that SQL cannot state."""
+    return _normalised(spark, d).fields
+
+
+@query()
+def normalize_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of fields, issues and observations of every case, and its status."""
+    return _normalised(spark, d).summary
+
+
+@query()
+def normalize_rederivation(spark: SparkSession, d: str) -> DataFrame:
+    """What deriving again finds in stored candidates of which every 97th value was changed and every 101st record lost."""
+    records, labels, policy = _records(spark, d), table(spark, d, "field_labels"), _policy(spark, d)
+    stored = normalisation.normalise(records, labels, policy, []).candidates.filter("record_id % 101 <> 0")
+    damaged = stored.withColumn("value", F.when(F.col("record_id") % 97 == 0, F.concat(F.coalesce("value", F.lit("")), F.lit("0"))).otherwise(F.col("value")))
+    return normalisation.rederive(damaged, records, labels, policy)
+
+
+@query()
+def issue_citations(spark: SparkSession, d: str) -> DataFrame:
+    """The entries that the questions written for issues of normalisation find, counted per code, field and status."""
+    issues = _normalised(spark, d).issues.select("case_id", "code", "field")
+    templates = spark.createDataFrame(list(pipelines.ISSUE_QUERIES), "code string, field string, query string")
+    found = pipelines.issue_citations(issues, templates, table(spark, d, "legal_corpus"), ["case_id"])
+    return found.groupBy("code", "field", "status").agg(F.count("*").alias("issues"), F.any_value(F.array_join("ids", ",")).alias("ids"))
+
+
+# Documents as they might have been stored: the last line of every 20th is lost, a text of others is changed.
+_CUT, _CHANGED = "doc_key % 20 = 3", "doc_key % 20 = 7 AND page = 1 AND line = 1"
+
+
+@query(f"""WITH {evidence._LINES_SQL}, st AS (SELECT doc_key, count(*) AS n, sha256(string_agg('[' || page || ',' || line || ',' || coalesce(CAST(confidence AS VARCHAR), 'null') || ',' || text || ']', chr(10) ORDER BY page, line)) AS h FROM lines GROUP BY 1),
+dm AS (SELECT * REPLACE (CASE WHEN {_CHANGED} THEN text || '.' ELSE text END AS text), row_number() OVER (PARTITION BY doc_key ORDER BY page DESC, line DESC) AS k FROM lines),
+nw AS (SELECT doc_key, count(*) AS n, sha256(string_agg('[' || page || ',' || line || ',' || coalesce(CAST(confidence AS VARCHAR), 'null') || ',' || text || ']', chr(10) ORDER BY page, line)) AS h,
+        count(*) FILTER (WHERE NOT coalesce(page >= 1 AND line >= 1 AND text IS NOT NULL AND confidence BETWEEN 0 AND 1 AND NOT isnan(confidence), false)) AS bad, count(*) - count(DISTINCT (page, line)) AS twice
+        FROM dm WHERE NOT ({_CUT} AND k = 1) GROUP BY 1)
+SELECT st.doc_key, CASE WHEN nw.n IS NULL OR nw.n <> st.n THEN 'line_count_differs' WHEN bad > 0 THEN 'malformed_line' WHEN twice > 0 THEN 'line_repeated' WHEN nw.h <> st.h THEN 'content_differs' END AS error
+FROM st LEFT JOIN nw ON nw.doc_key = st.doc_key WHERE error IS NOT NULL""")
+def document_integrity(spark: SparkSession, d: str) -> DataFrame:
+    """What reproducing documents from their lines finds where lines were lost or changed after the manifest was stored."""
+    lines = evidence._lines(spark, d)
+    stored = evidence.evidence.document_hashes(lines, ["doc_key"]).select("doc_key", "lines", "sha256")
+    last = F.struct("page", "line") == F.max(F.struct("page", "line")).over(Window.partitionBy("doc_key"))  # the lines of one document
+    damaged = lines.withColumn("#last", last).filter(f"NOT ({_CUT} AND `#last`)").withColumn("text", F.when(F.expr(_CHANGED), F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    return contracts.document_errors(damaged, stored, ["doc_key"])
