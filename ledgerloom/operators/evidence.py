@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import composed
 from ledgerloom.operators.phrases import with_phrases
 
 # Characters between a label and its value, and texts that stand for no value.
@@ -143,3 +144,14 @@ def score_summary(outcomes: DataFrame) -> DataFrame:
         "tp", "fp", "fn", F.bround(F.try_divide(tp, tp + fp), 6).alias("precision"), F.bround(F.try_divide(tp, tp + fn), 6).alias("recall"),
         F.bround(F.try_divide(2 * tp, 2 * tp + fp + fn), 6).alias("f1"),
     )
+
+
+def error_buckets(predicted: DataFrame, expected: DataFrame, keys: list[str], value: str, confidence: str) -> DataFrame:
+    """outcome, n, mean_confidence (6 digits half-even, null for missing ones) of two keyed relations.
+
+    Values are compared composed and with white space squeezed, in their case.
+    """
+    p = predicted.select(*keys, composed(F.col(value)).alias("v"), confidence)
+    e = expected.select(*keys, composed(F.col(value)).alias("v"))
+    outcomes = field_scores(p, e, keys, "v").join(p.select(*keys, confidence), keys, "left")
+    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"), F.bround(F.avg(confidence), 6).alias("mean_confidence"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import numeric, strict_values, text
 from ledgerloom.operators import evidence, pipelines, winners
-from ledgerloom.plans.registry import Registry
+from ledgerloom.plans.registry import SPACE, Registry
 from ledgerloom.session import small, table
 
 registry = Registry()
@@ -303,6 +303,24 @@ def field_scoring_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evidence.score_summary(_outcomes(spark, d))
 
 
+_PLAIN = lambda c: f"trim(regexp_replace(nfc_normalize({c}), '{SPACE}', ' ', 'g'))"
+
+
+@query(f"""WITH {_SCORING_SQL.split("o AS (SELECT")[0].rstrip().rstrip(",")},
+pc AS (SELECT DISTINCT ON (case_id, document, page, line) case_id, document, page, line, {_PLAIN("raw_label")} AS v, CASE WHEN isnan(confidence) THEN NULL ELSE confidence END AS confidence, 1 AS k FROM candidates ORDER BY case_id, document, page, line, cand_id),
+ob AS (SELECT confidence, CASE WHEN p.k IS NULL THEN 'missing' WHEN r.k IS NULL THEN 'spurious' WHEN p.v IS NOT DISTINCT FROM {_PLAIN("r.v")} THEN 'match' ELSE 'mismatch' END AS outcome
+      FROM pc p FULL JOIN (SELECT *, 1 AS k FROM ref) r USING (case_id, document, page, line))
+SELECT outcome, count(*) AS n, round_even(avg(confidence), 6) AS mean_confidence FROM ob GROUP BY 1""")
+def field_error_buckets(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["case_id", "document", "page", "line"]
+    sure = F.when(~F.isnan("confidence"), F.col("confidence"))
+    first = table(spark, d, "candidates").groupBy(*keys).agg(F.min_by(F.struct("raw_label", sure.alias("confidence")), "cand_id").alias("r"))
+    predicted = first.select(*keys, F.col("r.raw_label").alias("v"), "r.confidence")
+    lines = _lines(spark, d).withColumnRenamed("document_id", "document").filter(F.col("text").rlike("^[^:|=：]+[:|=：]"))
+    expected = lines.select(*keys, F.trim(F.regexp_extract("text", "^([^:|=：]+)[:|=：]", 1)).alias("v"))
+    return evidence.error_buckets(predicted, expected, keys, "v", "confidence")
+
+
 def _extraction(spark: SparkSession, d: str) -> pipelines.Extraction:
     documents = winners.latest_delivery(table(spark, d, "trade_case_documents"), "doc_key", "received_at")
     return pipelines.extract(documents, table(spark, d, "field_labels"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import raster, rejects
+from ledgerloom.operators import raster, rejects, scene_contracts
 from ledgerloom.plans.problems import SQL as _PROBLEM_SQL
 from ledgerloom.plans.registry import Registry
 from ledgerloom.session import small, table
@@ -185,3 +185,58 @@ def geojson_features(spark: SparkSession, d: str) -> DataFrame:
     properties = F.struct("row", "col", F.round(F.col("before").cast("double"), 6).alias("before"), F.round(F.col("after").cast("double"), 6).alias("after"))
     feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))
     return _pixels(spark, d).filter("loss").select("scene_id", F.to_json(feature).alias("feature"))
+
+
+# A declared grid for contracts, and where its upper left corner lies, in degrees.
+GRID = (64, 64)
+ORIGIN, CELL = ("127.5", "36.5"), ("0.0001", "0.0001")
+_SECONDS = "(epoch(acquired_after) - epoch(acquired_before))"
+_GAP = "abs(date_diff('day', make_date(2000, month(acquired_before), day(acquired_before)), make_date(2000, month(acquired_after), day(acquired_after))))"
+
+
+@query(f"""SELECT scene_id, unnest(list_filter([
+    CASE WHEN NOT coalesce(regexp_full_match(crs, 'EPSG:[0-9]{{4,5}}'), false) THEN 'crs_malformed' END, CASE WHEN try_cast(nodata AS DECIMAL(20,6)) IS NULL THEN 'nodata_no_number' END,
+    CASE WHEN try_cast(nodata AS DECIMAL(20,6)) BETWEEN 0 AND 1 THEN 'nodata_within_range' END, CASE WHEN season_label IS NULL THEN 'label_missing' END,
+    CASE WHEN acquired_before IS NULL OR acquired_after IS NULL THEN 'time_missing' END, CASE WHEN {_SECONDS} <= 0 THEN 'times_out_of_order' END,
+    CASE WHEN least({_GAP}, 366 - {_GAP}) > 30 THEN 'day_gap_too_wide' END, CASE WHEN {_SECONDS} > 0 AND NOT {_SECONDS} BETWEEN 86400 AND 400 * 86400 THEN 'elapsed_out_of_window' END], lambda x: x IS NOT NULL)) AS error FROM scenes""")
+def scene_contract(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "scenes").withColumns({"label_before": F.col("season_label"), "label_after": F.col("season_label")})
+    return scene_contracts.scene_errors(rows, "scene_id", scene_contracts.Season(30, 1, 400))
+
+
+@query(f"""WITH {_PIXELS_SQL.split("v AS")[0].rstrip().rstrip(",")}, a AS (SELECT s.scene_id, r.* FROM raw r JOIN scene_lines s ON s.raw_id = r.raw_id WHERE r.row IS NOT NULL AND r.col IS NOT NULL),
+e AS (SELECT scene_id, row, col, unnest(list_filter([CASE WHEN row >= {GRID[0]} OR col >= {GRID[1]} THEN 'outside_grid' END,
+    CASE WHEN red_before = 0 AND nir_before = 0 THEN 'zero_sum:before' END, CASE WHEN red_after = 0 AND nir_after = 0 THEN 'zero_sum:after' END], lambda x: x IS NOT NULL)) AS error FROM a
+    UNION ALL SELECT scene_id, row, col, 'repeated_cell' FROM a GROUP BY 1, 2, 3 HAVING count(*) > 1)
+SELECT DISTINCT * FROM e""")
+def pixel_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Every good record against the declared grid; bands out of range never get past the reading of records."""
+    good = rejects.split_records(table(spark, d, "scene_lines"), keys=("raw_id", "scene_id")).filter("reason IS NULL AND row IS NOT NULL AND col IS NOT NULL")
+    return scene_contracts.pixel_errors(good, "scene_id", *GRID, rejects.NODATA)
+
+
+@query(f"""WITH {_PIXELS_SQL}, c AS (SELECT scene_id, count(*) FILTER (WHERE row < {GRID[0]} AND col < {GRID[1]}) AS inside, count(*) FILTER (WHERE NOT (row < {GRID[0]} AND col < {GRID[1]})) AS outside, CAST(0 AS BIGINT) AS repeated FROM x GROUP BY 1)
+SELECT *, {GRID[0] * GRID[1]} - inside AS missing, inside = {GRID[0] * GRID[1]} AND outside = 0 AS complete FROM c""")
+def grid_contract(spark: SparkSession, d: str) -> DataFrame:
+    return scene_contracts.grid_check(_pixels(spark, d), "scene_id", *GRID)
+
+
+@query(f"""WITH {_PIXELS_SQL}, g AS (SELECT scene_id, r * {TILE[0]} AS r, c * {TILE[1]} AS c FROM (SELECT DISTINCT scene_id FROM x) z, unnest(range({-(-GRID[0] // TILE[0])})) AS a(r), unnest(range({-(-GRID[1] // TILE[1])})) AS b(c)),
+tn AS (SELECT scene_id, tile, count(*) AS pixels, count(*) FILTER (WHERE valid) AS valid FROM x GROUP BY 1, 2)
+SELECT g.scene_id, 'tile-r' || lpad(CAST(r AS VARCHAR), 4, '0') || '-c' || lpad(CAST(c AS VARCHAR), 4, '0') AS tile, coalesce(pixels, 0) AS pixels, coalesce(valid, 0) AS valid
+FROM g LEFT JOIN tn ON tn.scene_id = g.scene_id AND tn.tile = 'tile-r' || lpad(CAST(r AS VARCHAR), 4, '0') || '-c' || lpad(CAST(c AS VARCHAR), 4, '0')""")
+def tile_grid(spark: SparkSession, d: str) -> DataFrame:
+    return scene_contracts.tile_counts(_pixels(spark, d), "scene_id", *GRID, *TILE)
+
+
+@query()
+def cell_features(spark: SparkSession, d: str) -> DataFrame:
+    """One GeoJSON feature per valid cell, with its region and the class of its prediction."""
+    pixels = _pixels(spark, d).filter("valid")
+    regions = raster.components(pixels.filter("loss"), "scene_id")
+    return scene_contracts.cell_features(pixels, regions, "scene_id", ORIGIN, CELL)
+
+
+@query("""SELECT s.scene_id, EXISTS (SELECT 1 FROM trade_case_documents t WHERE t.case_id = s.case_id) AS bound FROM scenes s""")
+def scene_cases(spark: SparkSession, d: str) -> DataFrame:
+    return scene_contracts.bound_cases(table(spark, d, "scenes"), table(spark, d, "trade_case_documents"), "scene_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text
 from ledgerloom.operators import pipelines, retrieval
 from ledgerloom.operators.phrases import with_phrases
-from ledgerloom.plans.registry import Registry
+from ledgerloom.plans.registry import SPACE, Registry
 from ledgerloom.session import table
 
 registry = Registry()
@@ -90,11 +90,7 @@ def text_normalize_folded(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", folded.alias("form"))
 
 
-# White space as Python has it, so that labels of any letters can be compared.
-_SPACE = "[\\t\\n\\x0b\\f\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
-
-
-@query(f"SELECT DISTINCT cand_id, trim(regexp_replace(nfc_normalize(raw_label), '{_SPACE}', ' ', 'g')) AS form FROM candidates")
+@query(f"SELECT DISTINCT cand_id, trim(regexp_replace(nfc_normalize(raw_label), '{SPACE}', ' ', 'g')) AS form FROM candidates")
 def text_composed(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "candidates").select("cand_id", "raw_label").distinct()
     return rows.select("cand_id", text.composed(F.col("raw_label")).alias("form")).distinct()
