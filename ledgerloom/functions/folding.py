@@ -8,7 +8,10 @@ from functools import lru_cache
 # Letters of other scripts that look like a Latin one.
 CYRILLIC_LOOKS = dict(zip("АВСЕНІЈКМОРЅТУХҮԚԜасеһіјкорѕухԁԛԝ", "ABCEHIJKMOPSTYXYQWacehijkopsyxdqw", strict=True))
 GREEK_LOOKS = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχϲ", "ABEZHIKMNOPTYXaikvopuxc", strict=True))
-LOOKS = {**CYRILLIC_LOOKS, **GREEK_LOOKS}
+ARMENIAN_LOOKS = dict(zip("ԼՍՕոսհզցօ", "LUOnuhqgo", strict=True))
+CHEROKEE_LOOKS = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ", strict=True))
+COPTIC_LOOKS = dict(zip("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲭⲟⲣⲥ", "HIKMNOPCTxopc", strict=True))
+LOOKS = {**CYRILLIC_LOOKS, **GREEK_LOOKS, **ARMENIAN_LOOKS, **CHEROKEE_LOOKS, **COPTIC_LOOKS}
 
 # Invisible characters outside category Cf.
 INVISIBLE_EXTRA = "͏ᅟᅠ឴឵ㅤﾠ"

@@ -176,6 +176,7 @@ def components(cells: DataFrame, group: str, connectivity: int = 4, rounds: int
     else:
         if edges.limit(1).count():
             raise RuntimeError("components did not settle; raise rounds")
+    discard(edges)
     merged = pieces.join(label.select(group, "piece", "label"), [group, "piece"], "left").select(group, "row", "col", F.coalesce("label", "piece").alias("label"))
     numbered = merged.select(group, "label").distinct().withColumn("region", F.row_number().over(Window.partitionBy(group).orderBy("label")))
     return merged.join(numbered, [group, "label"]).select(group, "row", "col", "region")
