@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.folding import CYRILLIC_LOOKS, GREEK_LOOKS, is_invisible
+from ledgerloom.functions.folding import ARMENIAN_LOOKS, CHEROKEE_LOOKS, COPTIC_LOOKS, CYRILLIC_LOOKS, GREEK_LOOKS, is_invisible
 
 POINTS = sys.maxunicode + 1
 #: Decompositions that only change width or shape. Super- and subscripts, fractions and circled signs look different.
 SHAPE_TAGS = ("<wide>", "<narrow>", "<font>", "<square>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>")
-LATIN, GREEK, CYRILLIC = 1, 2, 3
+LATIN, GREEK, CYRILLIC, ARMENIAN, CHEROKEE, COPTIC = 1, 2, 3, 4, 5, 6
+SCRIPTS = {"LATIN": LATIN, "GREEK": GREEK, "CYRILLIC": CYRILLIC}
 
 
 def _plain_of(ch: str) -> str | None:
@@ -83,7 +84,7 @@ class Tables:
                 out.extend(map(ord, pieces))
             if category[0] == "L" and point < 0x2000 or 0x1E00 <= point <= 0x1FFF or 0x2C60 <= point <= 0x2C7F:
                 name = unicodedata.name(ch, "")
-                self.script[point] = {"LATIN": LATIN, "GREEK": GREEK, "CYRILLIC": CYRILLIC}.get(name.split(" ")[0], 0)
+                self.script[point] = SCRIPTS.get(name.split(" ")[0], 0)
             parts = unicodedata.decomposition(ch).split()
             if len(parts) == 2 and parts[0][0] != "<":
                 first, second = (int(p, 16) for p in parts)
@@ -103,7 +104,12 @@ class Tables:
             for other, latin in looks.items():
                 self.to_latin[ord(other)] = ord(latin)
                 self.to_other[script][ord(latin)] = ord(other)
-        self.flag |= (self.script == GREEK) | (self.script == CYRILLIC)
+        # Of rarer scripts only the letters that look like a Latin one take part, in words with Latin letters.
+        for script, looks in ((ARMENIAN, ARMENIAN_LOOKS), (CHEROKEE, CHEROKEE_LOOKS), (COPTIC, COPTIC_LOOKS)):
+            for other, latin in looks.items():
+                self.to_latin[ord(other)] = ord(latin)
+                self.script[ord(other)] = script
+        self.flag |= self.script > LATIN
 
 
 @lru_cache(maxsize=1)
@@ -114,13 +120,11 @@ def tables() -> Tables:
 def _compose(points: np.ndarray, row: np.ndarray, t: Tables) -> tuple[np.ndarray, np.ndarray]:
     """Canonical order and composition of marks and conjoining letters, within rows."""
     ccc = t.ccc[points]
-    while True:  # canonical order: swap neighbours whose classes fall
-        swap = np.flatnonzero((ccc[:-1] > ccc[1:]) & (ccc[1:] > 0) & (row[:-1] == row[1:]))
-        if not len(swap):
-            break
-        swap = swap[np.concatenate(([True], np.diff(swap) > 1))]
-        for a in (points, ccc):
-            a[swap], a[swap + 1] = a[swap + 1].copy(), a[swap].copy()
+    if ((ccc[:-1] > ccc[1:]) & (ccc[1:] > 0) & (row[:-1] == row[1:])).any():
+        # Canonical order: a stable sort by class behind each starter, however long its run of marks is.
+        run = np.cumsum((ccc == 0) | np.concatenate(([True], row[1:] != row[:-1])))
+        order = np.lexsort((ccc, run))
+        points, ccc = points[order], ccc[order]
     while len(points) > 1:
         at = np.arange(len(points))
         starter = np.maximum.accumulate(np.where(ccc == 0, at, -1))
@@ -188,14 +192,14 @@ def _unmix(points: np.ndarray, row: np.ndarray, t: Tables) -> np.ndarray:
     change[member] = all_latin[ids]
     change &= (script > LATIN) & (to_latin > 0)
     out[change] = to_latin[change]
-    for other, alone in ((CYRILLIC, greek == 0), (GREEK, cyrillic == 0)):
+    for other, own in ((CYRILLIC, cyrillic), (GREEK, greek)):
         table = t.to_other[other][points]
-        rest = mixed & ~all_latin & alone & (foreign > latin) & (per_word((script == LATIN) & (table > 0)) == latin)
+        rest = mixed & ~all_latin & (own == foreign) & (own > latin) & (per_word((script == LATIN) & (table > 0)) == latin)
         change = np.zeros(len(points), dtype=bool)
         change[member] = rest[ids]
         change &= (script == LATIN) & (table > 0)
         out[change] = table[change]
-    both = ~mixed & (greek > 0) & (cyrillic > 0) & (per_word((script > LATIN) & (to_latin > 0)) == foreign)
+    both = ~mixed & (greek > 0) & (cyrillic > 0) & (greek + cyrillic == foreign) & (per_word((script > LATIN) & (to_latin > 0)) == foreign)
     change = np.zeros(len(points), dtype=bool)
     change[member] = both[ids]
     change &= script > LATIN

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import materialise
+from ledgerloom.session import discard, materialise
 
 #: Letters and digits of a shared run that count as a leak.
 RUN = 50
@@ -251,10 +251,12 @@ def _sets(items: DataFrame, run: int, most: int) -> Iterator[list[tuple[int, str
     total = pieces.agg(F.sum("size")).first()[0] or 0
     count = max(1, -(-total // most))
     if count > 1:
-        pieces = materialise(pieces.withColumn("s", F.pmod(F.xxhash64("piece"), F.lit(count))), "items")
+        pieces = written = materialise(pieces.withColumn("s", F.pmod(F.xxhash64("piece"), F.lit(count))), "items")
     for k in range(count):
         part = pieces if count == 1 else pieces.filter(F.col("s") == k)
         yield [(r.item_id, r.piece) for r in part.orderBy("item_id", "piece").collect()]
+    if count > 1:
+        discard(written)
 
 
 def _scan_set(documents: DataFrame, automaton: Automaton) -> DataFrame:

@@ -76,3 +76,29 @@ def test_found_once_with_clashing_columns(candidates, bundles):
     got = sorted(tuple(r) for r in changed_lines(bundles, raw).collect())
     assert got == [("candidates", 9, 0, 0), ("trade_case_documents", 5, 1, 2)]
     assert changed_lines(bundles.limit(0), candidates()).collect() == []
+
+
+def test_letters_of_rarer_scripts_inside_words():
+    """Armenian, Cherokee and Coptic letters inside Latin words; words wholly in those scripts stay."""
+    import pyarrow as pa
+
+    from ledgerloom.llm.glyphs import plain_form
+
+    texts = ["wօrld", "ᎪᏟME", "ⲞⲢen", "Սրբազան", "ᏣᎳᎩ", "ⲕⲟⲥⲙⲟⲥ", "word Սօ"]
+    out, changed = plain_form(pa.array(texts))
+    assert out.to_pylist() == ["world", "ACME", "OPen", *texts[3:]] and changed.tolist() == [True] * 3 + [False] * 4
+
+
+def test_long_runs_of_marks_take_no_square_of_time():
+    import time
+    import unicodedata
+
+    import pyarrow as pa
+
+    from ledgerloom.llm.glyphs import plain_form
+
+    text = "a" + "\u0301\u0323" * 40_000 + "b"
+    began = time.perf_counter()
+    out, _ = plain_form(pa.array([text, "e\u0323\u0301"]))
+    assert time.perf_counter() - began < 20
+    assert out.to_pylist() == [unicodedata.normalize("NFC", text), "\u1eb9\u0301"]
