@@ -54,7 +54,8 @@ def match_labels(lines: DataFrame, labels: DataFrame, keys: list[str], text: str
     alone = lambda low, p, i: ~_is_word(low, i - 1) & ~_is_word(low, i + F.length(p["needle"]))
     spots = lambda low, p: F.filter(_occurrences(low, p["needle"]), lambda i: alone(low, p, i))
     hits = F.transform(F.array("#low"), lambda low: F.flatten(F.transform("#near", lambda p: F.transform(spots(low, p), lambda i: place(p, i)))))[0]
-    rows = rows.withColumn("#hits", F.coalesce(hits, F.array().cast("array<struct<neg:int,at:int,label:string,field:string>>")))
+    # Generated, not projected: what is built on it then never works it out again, filters least of all.
+    rows = rows.withColumn("#hits", F.explode(F.array(F.coalesce(hits, F.array().cast("array<struct<neg:int,at:int,label:string,field:string>>")))))
     leading = lambda h: F.substring("#low", F.lit(1), h["at"] - 1).rlike(r"^[\s\p{Z}]*$")
     rows = rows.withColumn("#best", F.array_min(F.filter("#hits", leading)))
     inside = lambda h: (h["at"] >= F.col("#best.at")) & (h["at"] - h["neg"] <= F.col("#best.at") - F.col("#best.neg"))

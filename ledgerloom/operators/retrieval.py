@@ -97,8 +97,9 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     return spread.groupBy(key, "channel", "term").agg(F.count("*").alias("qtf"))
 
 
-def term_scores(queries: DataFrame, fields: DataFrame, query_key: str, query_text: str, settings: Fields = Fields(), channels: tuple[str, ...] = ("word", "gram")) -> DataFrame:
-    """query_key, id, channel, term, score, parts (weighted frequency by field), wtf of every term that a query and an entry share.
+def term_scores(queries: DataFrame, fields: DataFrame, query_key: str, query_text: str, settings: Fields = Fields(), channels: tuple[str, ...] = ("word", "gram"), parts: bool = True) -> DataFrame:
+    """query_key, id, channel, term, score, parts (weighted frequency by field, if asked for), wtf of every term that a
+    query and an entry share.
 
     Only terms that some query has are spread into postings (a semi-join before counting), while lengths and numbers of
     entries come from the whole corpus, so that scores are those of the whole index.
@@ -115,18 +116,18 @@ def term_scores(queries: DataFrame, fields: DataFrame, query_key: str, query_tex
         .withColumn("mean", F.when(F.col("mean") == 0, 1.0).otherwise(F.col("mean")))
         .withColumn("part", settings.column(settings.weight) * F.col("tf") / (1 - F.col("slope") + F.col("slope") * F.col("length") / F.col("mean")))
         .groupBy("id", "channel", "term")
-        .agg(F.sum("part").alias("wtf"), F.collect_list(F.struct("field", "part")).alias("parts"))  # a row per field
+        .agg(F.sum("part").alias("wtf"), *((F.collect_list(F.struct("field", "part")).alias("parts"),) if parts else ()))  # a row per field
     )
     rare = document_frequency(posts, "id").crossJoin(F.broadcast(total)).select("channel", "term", idf(F.col("df"), F.col("total")).alias("idf"))
     channel_weight = F.when(F.col("channel") == "word", 1.0).otherwise(GRAM_WEIGHT)
     scored = asked.join(weighted, ["channel", "term"]).join(rare, ["channel", "term"])
     value = F.col("idf") * (K1 + 1) * F.col("wtf") / (K1 + F.col("wtf")) * (1 + 0.1 * (F.least("qtf", F.lit(2)) - 1)) * channel_weight
-    return scored.select(query_key, "id", "channel", "term", value.alias("score"), "parts", "wtf")
+    return scored.select(query_key, "id", "channel", "term", value.alias("score"), *(("parts",) if parts else ()), "wtf")
 
 
 def bm25f(queries: DataFrame, fields: DataFrame, query_key: str, query_text: str, settings: Fields = Fields(), channels: tuple[str, ...] = ("word", "gram")) -> DataFrame:
     """query_key, id, score (6 digits) of every query and entry that share a term."""
-    scored = term_scores(queries, fields, query_key, query_text, settings, channels)
+    scored = term_scores(queries, fields, query_key, query_text, settings, channels, parts=False)
     return scored.groupBy(query_key, "id").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
