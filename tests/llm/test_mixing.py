@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from ledgerloom.llm.mixing import TOKENIZER, Plan, draw_parts, mix, permute, shard_counts
+from ledgerloom.llm.mixing import RANKS, TOKENIZER, Plan, _encoder, draw_parts, mix, permute, shard_counts
 
 
 @pytest.mark.parametrize("size", [1, 2, 3, 5, 17, 100, 4097])
@@ -91,3 +91,10 @@ def test_shards_add_up(slots, parts):
         sizes += [int(c.sum()) for c in counts]
     assert sum(sizes) == slots and all(n == 10 for n in sizes[:-1]) and len(sizes) == max(1, -(-slots // 10))
     assert slots < 1000 or abs(drawn.sum(axis=0) / slots - shares).max() < 0.02
+
+
+def test_both_forms_of_the_vocabulary_give_the_same_ids():
+    texts = ["", " plain text, it's 12%", "순중량 190 톤\n\n  §", "<|endoftext|> in a text", "x" * 30_000, " \t " * 5_000, "a\x00é́\u200b가나다"]
+    (one, end), (two, last) = _encoder(TOKENIZER, "<|endoftext|>"), _encoder(RANKS, "<|endoftext|>")
+    assert [list(x) for x in one(texts)] == [list(x) for x in two(texts)] and end == last == [50256]
+    assert _encoder(RANKS, None)[1] == [] == _encoder(TOKENIZER, None)[1]
