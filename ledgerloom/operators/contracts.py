@@ -77,3 +77,11 @@ def document_errors(lines: DataFrame, manifest: DataFrame, keys: list[str]) -> D
     )
     joined = manifest.select(*keys, "lines", "sha256").join(again, keys, "left")
     return joined.select(*keys, error.alias("error")).filter("error IS NOT NULL")
+
+
+def reused_queries(holdout: DataFrame, development: DataFrame, key: str, text: str) -> DataFrame:
+    """key, development_key of held-out cases whose query is, in search form, one of the development cases; blank ones never are."""
+    form = folded_form(F.col(text))
+    own = holdout.select(key, form.alias("form")).filter("form <> ''")
+    other = development.select(F.col(key).alias("development_key"), form.alias("form")).filter("form <> ''")
+    return own.join(other, "form").select(key, "development_key").distinct()

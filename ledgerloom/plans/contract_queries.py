@@ -206,3 +206,11 @@ def document_integrity(spark: SparkSession, d: str) -> DataFrame:
     last = F.struct("page", "line") == F.max(F.struct("page", "line")).over(Window.partitionBy("doc_key"))  # the lines of one document
     damaged = lines.withColumn("#last", last).filter(f"NOT ({_CUT} AND `#last`)").withColumn("text", F.when(F.expr(_CHANGED), F.concat("text", F.lit("."))).otherwise(F.col("text")))
     return contracts.document_errors(damaged, stored, ["doc_key"])
+
+
+@query(f"""SELECT DISTINCT h.item_id, p.item_id AS development_key FROM (SELECT *, {retrieval._FORM.format("query")} AS form FROM eval_items WHERE case_type <> 'positive') h
+JOIN (SELECT *, {retrieval._FORM.format("query")} AS form FROM eval_items WHERE case_type = 'positive') p ON p.form = h.form AND p.form <> ''""")
+def reused_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Negative and distracting cases that ask what a positive one asks."""
+    items = table(spark, d, "eval_items")
+    return contracts.reused_queries(items.filter("case_type <> 'positive'"), items.filter("case_type = 'positive'"), "item_id", "query")

@@ -102,3 +102,11 @@ def test_issues_find_their_entries(spark, corpus):
     templates = spark.createDataFrame([("conflict", "mass", "CBAM article 6 declaration must"), ("blank", None, "lunch")], "code string, field string, query string")
     got = {(r.case_id, r.code, r.field): (r.status, r.ids[:1]) for r in pipelines.issue_citations(issues, templates, corpus, ["case_id"]).collect()}
     assert got == {("c1", "conflict", "mass"): ("supported", ["CBAM-A6"]), ("c2", "conflict", "mass"): ("supported", ["CBAM-A6"]), ("c1", "conflict", "other"): ("unmapped", []), ("c3", "blank", None): ("abstained", [])}
+
+
+def test_reused_queries_are_found_in_any_spelling(spark):
+    from ledgerloom.operators.contracts import reused_queries
+
+    held = spark.createDataFrame([(1, "ＣＢＡＭ  declaration?"), (2, "another"), (3, ""), (4, None)], "k int, q string")
+    known = spark.createDataFrame([(8, "cbam declaration"), (9, "CBAM, Declaration"), (10, " ")], "k int, q string")
+    assert {tuple(r) for r in reused_queries(held, known, "k", "q").collect()} == {(1, 8), (1, 9)}
