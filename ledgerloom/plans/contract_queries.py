@@ -9,7 +9,7 @@ from ledgerloom.operators import contracts, normalisation, pipelines, winners
 from ledgerloom.plans import evidence_queries as evidence
 from ledgerloom.plans import retrieval_queries as retrieval
 from ledgerloom.plans.registry import Registry
-from ledgerloom.session import small, table
+from ledgerloom.session import BROADCAST_ROWS, small, table
 
 registry = Registry()
 query = registry.query
@@ -144,7 +144,10 @@ REQUIRED = ("shipment_mass_t", "cn_code", "actual_intensity_tco2e_per_t", "verif
 def _policy(spark: SparkSession, d: str) -> normalisation.Policy:
     """The policy that the table of authorities states (a curated list), with the tolerances above."""
     general, by_field = {}, {f: {} for f in TOLERANCES}
-    for r in table(spark, d, "source_authority").filter("document_type IS NOT NULL").limit(10_001).collect():
+    rows = table(spark, d, "source_authority").filter("document_type IS NOT NULL").limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        raise ValueError(f"a policy of more than {BROADCAST_ROWS} authorities")
+    for r in rows:
         (general if r.field is None else by_field.setdefault(r.field, {}))[r.document_type] = r.authority_rank
     return normalisation.Policy("test tables", 10, general, by_field, TOLERANCES)
 
