@@ -2,12 +2,14 @@
 
 Candidate decodings of every suspicious line are compressed with per-language zstandard dictionaries; the chain of
 decodings with the least description length, chain cost included, is taken, and the line stays as it is otherwise.
+Words and dictionaries are counted over all distinct texts.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import discard, materialise, small
+from ledgerloom.session import discard, materialise
 
 #: Bytes a chain of decodings costs, at first and for each further step, and what a chain of single letters costs more.
 CHAIN_COST = 2.0
@@ -29,12 +31,11 @@ STEPS = 3
 WIDTH = 6
 #: Words on either side within which a changed word is judged.
 AROUND = 200
-#: Bounds of what is fitted: languages with a dictionary of their own (the others share one), texts sampled per
-#: language, characters of each, bytes of a dictionary.
+#: Sizes of the model: languages with a dictionary of their own (the others share one) and bytes of a dictionary.
 LANGUAGES = 32
-SAMPLE_TEXTS = 1500
-SAMPLE_CHARACTERS = 20_000
 DICTIONARY_BYTES = 65_536
+#: Bytes that a reference into a dictionary costs itself.
+REFERENCE_COST = 3
 #: Known words that every task holds; all others are looked up by a join, so that this bounds memory, not the lexicon.
 HEAD_WORDS = 50_000
 #: A word is known if it occurs at least so often, and no decoding of it is this many times as frequent.
@@ -52,6 +53,9 @@ SIGNS = frozenset("’‘“”–—«»€°·…ºª§£¡¿")
 
 _WORD = re.compile(r"[^ \t\n\r]+")
 _PIECES = re.compile(r"([^ \t\n\r]+)")
+#: What phrases are made of: words with the white space behind them, single characters in scripts that use none.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff"
+_PIECE = re.compile(f"[{_UNSPACED}]\\s*|[^\\s{_UNSPACED}]+\\s*")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3}")
 _KOREAN = re.compile(rb"(?:[\xa1-\xfe][\xa1-\xfe])+")
 _MISPLACED = re.compile(r"[^\W_][“„‘«¡¿]|[”»][^\W_]")
@@ -270,8 +274,8 @@ def forms(word: str) -> tuple[str, ...]:
 
 @dataclass
 class Model:
-    """What is fitted: the most frequent known words, a dictionary per language (raw content where there is too little
-    to train on), and the table (word) of all known words, None where known has them all."""
+    """What is fitted: the most frequent known words, a dictionary per language (raw content, the best phrases last), and
+    the table (word) of all known words, None where known has them all."""
 
     known: frozenset[str]
     dictionaries: dict[str, bytes]
@@ -289,7 +293,10 @@ class Repairer:
         self.more: frozenset[str] = frozenset()
         #: Unknown words of the candidates in hand.
         self.counted: dict[str, int] = {}
-        parameters = zstandard.ZstdCompressionParameters.from_level(6, write_content_size=0, write_checksum=0, write_dict_id=0)
+        # Optimal parsing: a greedy one may measure a text the longer, the more often a dictionary has its words.
+        parameters = zstandard.ZstdCompressionParameters.from_level(
+            6, strategy=zstandard.STRATEGY_BTOPT, search_log=6, write_content_size=0, write_checksum=0, write_dict_id=0
+        )
         self.compressors = [
             zstandard.ZstdCompressor(compression_params=parameters, dict_data=zstandard.ZstdCompressionDict(data))
             for data in model.dictionaries.values()
@@ -425,13 +432,13 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(documents: DataFrame, head_words: int = HEAD_WORDS) -> Model:
-    """Words counted over all distinct texts; dictionaries from at most SAMPLE_TEXTS texts per language.
+    """Words, and the phrases of dictionaries, counted over all distinct texts.
 
     The lexicon is a table without bound; only its head_words most frequent words reach the driver. A word is not known
     if it reads as UTF-8 of one alphabet or as Korean in another encoding, however frequent it is, if another reading as
     UTF-8 is as frequent, or if any other reading is OUTNUMBERED times as frequent: copies don't make a garbled word
-    known, and whether a reading is taken is left to the description length. Dictionaries are trained by the executors
-    on lines whose unusual words are all among the frequent ones.
+    known, and whether a reading is taken is left to the description length. Dictionaries hold the phrases of lines whose
+    unusual words are all known.
     """
     texts = documents.select("text", "lang").filter("text IS NOT NULL AND text <> ''")
     distinct = texts.select("text").filter(F.col("text").rlike("[^\\x00-\\x7F]")).distinct()
@@ -442,9 +449,11 @@ def fit(documents: DataFrame, head_words: int = HEAD_WORDS) -> Model:
     head = [r.word for r in lexicon.orderBy(F.desc("n"), "word").limit(head_words + 1).collect()]
     whole = len(head) <= head_words
     known = frozenset(head[:head_words])
+    beyond = None if whole else lexicon.select("word")
+    dictionaries = _dictionaries(texts, known, beyond)
     if whole:
         discard(lexicon)
-    return Model(known, _dictionaries(texts, known), None if whole else lexicon.select("word"))
+    return Model(known, dictionaries, beyond)
 
 
 def _readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -472,47 +481,121 @@ def _known_words(counts: DataFrame) -> DataFrame:
     return judged.filter(~F.col("against")).select("word", "n")
 
 
-def _dictionaries(texts: DataFrame, known: frozenset[str]) -> dict[str, bytes]:
-    """A dictionary for each of the LANGUAGES languages with most texts, and one for all others, from a bounded sample."""
+def _dictionaries(texts: DataFrame, known: frozenset[str], lexicon: DataFrame | None) -> dict[str, bytes]:
+    """A dictionary for each of the LANGUAGES languages with most texts, and one for all others, from all distinct texts.
+
+    Words and pairs of neighbouring words are counted exactly; those that save most for the bytes they take fill the
+    dictionary: a word its bytes but for a reference, a pair the second reference. Each takes a byte at least, so that no
+    more than DICTIONARY_BYTES of a language can take part.
+    """
     language = F.regexp_extract(F.lower(F.coalesce("lang", F.lit("und"))), "^[a-z]{2,3}", 0)
-    keyed = texts.select(language.alias("l"), F.xxhash64("text").alias("o"), "text")
+    keyed = texts.select(language.alias("l"), "text")
     most = keyed.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
     own = [r.l for r in most.collect()]
-    keyed = keyed.withColumn("l", F.when(F.col("l").isin(own), F.col("l")).otherwise("other"))
+    keyed = keyed.withColumn("l", F.when(F.col("l").isin(own), F.col("l")).otherwise("other")).distinct()
+    schema, size = "l string, phrase string, saves int, n long", DICTIONARY_BYTES
     shared = texts.sparkSession.sparkContext.broadcast(known)
-
-    def train(group: pd.DataFrame) -> pd.DataFrame:
-        known = shared.value
-        fine = lambda w: bare(w) in known and not _reads_as_utf8(w)
-        lines = [x for t in group.sort_values("o")["text"] for x in t.split("\n") if x and all(fine(w) for w in _WORD.findall(x) if _UNUSUAL.search(bare(w)))]
-        return pd.DataFrame({"l": group["l"].iloc[:1], "data": [_dictionary(lines)] if lines else [b""]})
-
-    trained = _sample(keyed).groupBy("l").applyInPandas(train, "l string, data binary")
-    return {r.l: bytes(r.data) for r in trained.orderBy("l").collect() if r.data}
-
-
-def _sample(keyed: DataFrame) -> DataFrame:
-    """At most SAMPLE_TEXTS texts per language, of at most SAMPLE_CHARACTERS each, chosen by hash.
-
-    Texts are thinned by hash before they are moved, so that a language costs a bounded shuffle however large it is.
-    """
-    spread = 1 << 20
-    sizes = keyed.groupBy("l").agg(F.count("*").alias("n")).withColumn("limit", F.least(F.lit(1.0), 2.0 * SAMPLE_TEXTS / F.col("n")) * spread)
-    thin = keyed.join(small(sizes.select("l", "limit")), "l").filter(F.pmod("o", F.lit(spread)) < F.col("limit"))
-    short = thin.select("l", "o", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text"))
-    ranked = short.withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy("o", "text")))
-    return ranked.filter(F.col("k") <= SAMPLE_TEXTS).select("l", "o", "text")
+    if lexicon is None:
+        counted, rare = keyed.mapInPandas(lambda batches: _count_phrases(_fine_lines(batches, shared.value, False)), schema), None
+    else:
+        lines = keyed.mapInPandas(lambda batches: _fine_lines(batches, shared.value, True), "l string, line string, rare array<string>")
+        rare = materialise(lines.filter(F.size("rare") > 0).withColumn("id", F.monotonically_increasing_id()), "rare")
+        unknown = rare.select("id", F.explode("rare").alias("word")).join(lexicon, "word", "left_anti").select("id").distinct()
+        fine = lines.filter(F.size("rare") == 0).select("l", "line").union(rare.join(unknown, "id", "left_anti").select("l", "line"))
+        counted = fine.mapInPandas(_count_phrases, schema)
+    gain = (F.col("n") - 1) * F.col("saves") / F.octet_length("phrase")
+    phrases = counted.groupBy("l", "phrase", "saves").agg(F.sum("n").alias("n")).withColumn("gain", gain)
+    phrases = phrases.filter((F.col("gain") > 0) & (F.octet_length("phrase") <= size))
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("gain"), "phrase"))
+    ranked = phrases.withColumn("k", place).filter(F.col("k") <= size).select("l", "k", "phrase")
+
+    def compose(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"l": group["l"].iloc[:1], "data": [_dictionary(group.sort_values("k")["phrase"].tolist(), size)]})
+
+    made = ranked.groupBy("l").applyInPandas(compose, "l string, data binary").collect()
+    if rare is not None:
+        discard(rare)
+    return {r.l: bytes(r.data) for r in sorted(made, key=lambda r: r.l)}
+
+
+def _fine_lines(batches: Iterator[pd.DataFrame], known: frozenset[str], beyond: bool) -> Iterator[pd.DataFrame]:
+    """l, line, rare: lines without a word that reads as UTF-8; rare are their unusual words that known does not have,
+    which only a lexicon beyond it can allow."""
+    for b in batches:
+        rows = []
+        for language, text in zip(b["l"], b["text"], strict=True):
+            for line in filter(None, text.split("\n")):
+                unusual = [] if line.isascii() else [w for w in _WORD.findall(line) if _UNUSUAL.search(bare(w))]
+                rare = {bare(w) for w in unusual} - known
+                if (beyond or not rare) and not any(map(_reads_as_utf8, unusual)):
+                    rows.append((language, line, sorted(rare)))
+        yield pd.DataFrame(rows, columns=["l", "line", "rare"])
 
 
-def _dictionary(lines: list[str]) -> bytes:
-    """A trained dictionary, or the lines themselves where they are too few to train on."""
-    import zstandard
+def _count_phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """l, phrase, saves, n: words and pairs of neighbouring words, and the bytes that one saves where it is referred to."""
+    for b in batches:
+        words: Counter[tuple[str, str]] = Counter()
+        pairs: Counter[tuple[str, str]] = Counter()
+        for language, line in zip(b["l"], b["line"], strict=True):
+            pieces = _PIECE.findall(line)
+            words.update((language, p) for p in pieces)
+            pairs.update((language, p + q) for p, q in zip(pieces, pieces[1:], strict=False))
+        rows = [(*key, len(key[1].encode()) - REFERENCE_COST, n) for key, n in words.items()]
+        rows += [(*key, REFERENCE_COST, n) for key, n in pairs.items()]
+        yield pd.DataFrame(rows, columns=["l", "phrase", "saves", "n"])
+
+
+def _dictionary(ranked: list[str], size: int) -> bytes:
+    """As many of the phrases, best first, as size bytes hold; zstandard refers most cheaply to what stands last."""
+    pieces = [_PIECE.findall(p) for p in ranked]
+    fits, over = 0, len(ranked) + 1
+    step = 1024
+    while over - fits > 1:
+        at = min(fits + step, (fits + over) // 2)
+        if sum(len(x.encode()) for x in _passages(pieces[:at])) <= size:
+            fits, step = at, 2 * step
+        else:
+            over = at
+    return "".join(reversed(_passages(pieces[:fits]))).encode()
+
+
+def _passages(phrases: list[list[str]]) -> list[str]:
+    """Passages that hold all the phrases (words and pairs, best first): pairs are chained where one begins with the word
+    another ends with, each taken once, and a word of a pair does not stand alone."""
+    pairs = [p for p in phrases if len(p) == 2]
+    paired = {w for p in pairs for w in p}
+    after: dict[str, list[int]] = {}
+    before: dict[str, list[int]] = {}
+    for i in reversed(range(len(pairs))):
+        after.setdefault(pairs[i][0], []).append(i)
+        before.setdefault(pairs[i][1], []).append(i)
+    used: set[int] = set()
+
+    def take(waiting: list[int]) -> int | None:
+        while waiting:
+            if (i := waiting.pop()) not in used:
+                used.add(i)
+                return i
+        return None
 
-    samples = [x.encode() for x in lines]
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=6).as_bytes()
-    except zstandard.ZstdError:
-        return b"\n".join(dict.fromkeys(samples))[-DICTIONARY_BYTES:]
+    out, at = [], 0
+    for phrase in phrases:
+        if len(phrase) != 2:
+            if phrase[0] not in paired:
+                out.append(phrase[0])
+            continue
+        first, at = at, at + 1
+        if first in used:
+            continue
+        used.add(first)
+        right, left = [pairs[first][1]], [pairs[first][0]]
+        while (i := take(after.get(right[-1], []))) is not None:
+            right.append(pairs[i][1])
+        while (i := take(before.get(left[-1], []))) is not None:
+            left.append(pairs[i][0])
+        out.append("".join((*reversed(left), *right)))
+    return out
 
 
 LINE_SCHEMA = "doc_id long, text string, lines array<struct<place:int,line:string,words:array<string>>>"
